@@ -81,6 +81,14 @@ def crc32_of_id(column: str | Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+ROW_KEY = ["__fl_id", "__fl_null", "__fl_text"]
+
+
+def row_key(id_col: str, text_hash: Column) -> list[Column]:
+    """Null-safe key of a row by id and text, for plain equi-joins; rows that share it are the same document."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(ROW_KEY[0]), F.col(id_col).isNull().alias(ROW_KEY[1]), text_hash.alias(ROW_KEY[2])]
+
+
 def split_points(df: DataFrame, key: str, shards: int) -> np.ndarray:
     """Ascending, distinct lower bounds of at most `shards` ranges of a long key (one bounded sketch on the driver)."""
     if shards < 2:
