@@ -20,7 +20,7 @@ from . import common
 #: Bounds of what the classifier is fitted on: characters of dictionary for each language, and of each text.
 DICTIONARY_CHARS = 98_304
 CHARS_OF_TEXT = 2_048
-LEVEL = 1
+LEVEL = 5
 WINDOW = 4_096
 NARROW = 0.02
 
@@ -30,7 +30,8 @@ PREDICTED_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score doubl
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tie_col: str = "doc_id", chars: int = DICTIONARY_CHARS, of_text: int = CHARS_OF_TEXT) -> dict[str, bytes]:
-    """Dictionary content of each language: the starts of its texts in the order of a hash, until `chars` characters.
+    """Dictionary content of each language, the most frequent first: the starts of its texts in the order of a hash, until
+    `chars` characters.
 
     The sample is bounded for each language: rows are first cut down by hash, so that a window sorts few of them."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(
@@ -45,7 +46,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tie
     texts: dict[str, list[str]] = {}
     for r in kept.select("lang", "h", "text").orderBy("lang", F.desc("h"), "text").collect():  # bounded by languages * (chars + of_text)
         texts.setdefault(r["lang"], []).append(r["text"])
-    return {k: " ".join(map(letters_of, v)).encode("utf-8", "surrogatepass") for k, v in texts.items()}
+    share_of = {r["lang"]: r["n"] for r in sums.limit(10_000).collect()}
+    order = sorted(texts, key=lambda k: (-share_of.get(k, 0), k))
+    return {k: " ".join(map(letters_of, texts[k])).encode("utf-8", "surrogatepass") for k in order}
 
 
 def letters_of(text: str) -> str:
@@ -57,7 +60,7 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         import zstandard
 
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.compress = []
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,11 +77,11 @@ class Classifier:
         is 1/2 at a margin of 0 and nears 1. Without a letter, a text or a language: ('und', 0, 0)."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, 0.0
-        ranked = sorted(zip(self.sizes(text), self.langs))
+        ranked = sorted(zip(self.sizes(text), range(len(self.langs)), self.langs))
         if len(ranked) == 1:
-            return ranked[0][1], 1.0, 1.0
+            return ranked[0][2], 1.0, 1.0
         margin = (ranked[1][0] - ranked[0][0]) / max(1, ranked[1][0])
-        return ranked[0][1], min(1.0, 1 - 0.5 * 0.5 ** (margin / NARROW)), margin
+        return ranked[0][2], min(1.0, 1 - 0.5 * 0.5 ** (margin / NARROW)), margin
 
 
 def _predict(dictionaries: dict[str, bytes]):
@@ -96,7 +99,7 @@ def _predict(dictionaries: dict[str, bytes]):
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score, margin, rejected. Null, empty and letterless texts are
-    `und` with score 0 (and rejected); ties go to the first language by name; repeated rows stay repeated."""
+    `und` with score 0 (and rejected); ties go to the language with more training texts, then by name; repeated rows stay repeated."""
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(dictionaries), PREDICTED_SCHEMA)
