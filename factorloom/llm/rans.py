@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,16 +144,19 @@ def decode_block(block: dict, table: FrequencyTable) -> np.ndarray:
     return ids
 
 
-def _compress(raw: bytes) -> bytes:
+@lru_cache(1)
+def _zstd():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(raw)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False), zstandard.ZstdDecompressor()
 
 
-def _expand(raw: bytes) -> bytes:
-    import zstandard
+def _compress(raw: bytes) -> bytes:
+    return _zstd()[0].compress(raw)
+
 
-    return zstandard.ZstdDecompressor().decompress(raw)
+def _expand(raw: bytes) -> bytes:
+    return _zstd()[1].decompress(raw)
 
 
 def _tokenise(path: str, end_id: int, points: np.ndarray):

@@ -31,7 +31,7 @@ def _byte_letters() -> dict[int, str]:
 class SegmentEncoder:
     """ids(text): the token ids of a whole text as an array; `limit` bounds each of the two generations of the cache."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,8 +102,6 @@ class SegmentEncoder:
         found = self.old.get(segment)
         if found is None:
             found = self._make(segment)
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
         self.young[segment] = found
         return found
 
@@ -113,19 +111,21 @@ class SegmentEncoder:
             return b""
         if self.mode == "whole" or (self.mode == "spaced" and _AFTER_SPACE.search(text)):
             return self._whole(text)
-        head, out = [], []
         segments = text.split(" ")
+        head = b""
         if self.mode == "spaced":
-            head = [self._whole(segments[0])] if segments[0] else []
+            head = self._whole(segments[0]) if segments[0] else b""
             segments = segments[1:]
-        get, miss = self.young.get, self._miss
-        for s in segments:
-            b = get(s)
-            if b is None:
-                b = miss(s)
-                get = self.young.get
-            out.append(b)
-        return b"".join(head + out)
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, segments))
+        if None in out:
+            young, miss = self.young, self._miss
+            for i, b in enumerate(out):
+                if b is None:
+                    s = segments[i]
+                    out[i] = young.get(s) or miss(s)
+        return head + b"".join(out)
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.raw(text), dtype=self.dtype)
