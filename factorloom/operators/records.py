@@ -1,0 +1,283 @@
+"""The research record: trials, distinct formulas, library lifecycle, search budget, gates.
+
+Trials are rows (run_id, stage, name, fingerprint, family, source, status, reason, ic_t, ...). A write is one append of
+rows that are not there yet; reads are plans. Steps whose order matters (greedy gates, lifecycles) work on the small tables
+they are about, on the driver.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..plans import formula as fm
+from . import statistics as st
+
+TRIAL_KEY = ["run_id", "stage", "name", "fingerprint"]
+TRIAL_SCHEMA = (
+    "run_id string, created_at timestamp, stage string, name string, source string, source_model string, prompt_sha string, parent_id string, fingerprint string, family string, expr string, "
+    "rationale string, sign int, nodes int, zoo_overlap int, ic_mean double, ic_t double, ls_sharpe_ann double, dsr double, later_ic_mean double, inner_oos_ic double, inner_oos_t double, "
+    "n_trials_at_eval int, status string, reason string"
+)
+
+
+def absent(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of `new`, once a key, whose key `old` lacks; NULL keys equal each other."""
+    condition = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
+    return new.dropDuplicates(key).alias("n").join(old.select(*key).distinct().alias("o"), condition, "left_anti")
+
+
+def append(spark: SparkSession, path: str, rows: DataFrame, key: list[str]) -> None:
+    """Insert if absent, as one atomic append; a second call with the same rows adds nothing."""
+    exists = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = exists.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(exists)
+    new = absent(rows, spark.read.schema(rows.schema).parquet(path), key) if there else rows.dropDuplicates(key)
+    new.write.mode("append").parquet(path)
+
+
+def latest(rows: DataFrame, key: list[str], order: str = "updated_at") -> DataFrame:
+    """The newest row of each key: how an update-by-key table is read."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last(order)))).where("__k = 1").drop("__k")
+
+
+def formula_id() -> Column:
+    """Fingerprint, or the expression where a row has none: every candidate counts."""
+    return F.coalesce(F.nullif(F.col("fingerprint"), F.lit("")), F.col("expr"))
+
+
+def trial_count(trials: DataFrame, prefix: str = "") -> DataFrame:
+    """Exact number of distinct formulas of the stages with a prefix."""
+    return trials.where(F.col("stage").startswith(prefix)).agg(F.countDistinct(formula_id()).alias("n_trials"))
+
+
+def status_counts(trials: DataFrame) -> DataFrame:
+    return trials.groupBy("run_id", "status").agg(F.count("*").alias("n"))
+
+
+def run_summary(trials: DataFrame) -> DataFrame:
+    return trials.groupBy("run_id").agg(F.count("*").alias("n"), F.countDistinct(formula_id()).alias("n_distinct"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+
+
+SORTABLE = ("ic_t", "ic_mean", "dsr", "ls_sharpe_ann", "nodes", "created_at", "later_ic_mean")
+
+
+def select_trials(trials: DataFrame, *, sort: str = "ic_t", descending: bool = True, limit: int = 100, offset: int = 0, min_dsr: float | None = None, **equal) -> DataFrame:
+    """Filters by equality and by dsr, then a page in order (ties by fingerprint, name)."""
+    if sort not in SORTABLE:
+        raise ValueError(f"trials sort by one of {', '.join(SORTABLE)}")
+    for k, v in equal.items():
+        if v is not None:
+            trials = trials.where(F.col(k) == v)
+    if min_dsr is not None:
+        trials = trials.where(F.col("dsr") >= min_dsr)
+    first = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
+    return trials.orderBy(first, "fingerprint", "name").offset(offset).limit(limit)
+
+
+def treadmill(trials: DataFrame, points: int = 60, variance: float = 0.02, periods: int = 400) -> DataFrame:
+    """dt, trials: distinct formulas tried by the end of each day. Thinned to about `points` rows and the last."""
+    first = trials.groupBy(formula_id().alias("f")).agg(F.min(F.to_date("created_at")).alias("dt"))
+    daily = first.groupBy("dt").agg(F.count("*").alias("new"))
+    over = Window.orderBy("dt")  # one row a day
+    grown = daily.select("dt", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("trials"), (F.row_number().over(over) - 1).alias("k"))
+    n = F.count("*").over(Window.partitionBy())
+    return grown.withColumn("n", n).where((F.col("k") % F.greatest(F.ceil(F.col("n") / points), F.lit(1)) == 0) | (F.col("k") == F.col("n") - 1)).select("dt", "trials")
+
+
+def with_hurdles(counts: DataFrame, variance: float = 0.02, n: int = 400) -> list[tuple]:
+    """(dt, trials, hurdle) of a treadmill: at most a few dozen rows."""
+    return [(r["dt"], r["trials"], st.hurdle_sharpe(r["trials"], variance, n)) for r in counts.orderBy("dt").collect()]
+
+
+def family_diagnostics(trials: DataFrame, by: str = "family") -> DataFrame:
+    """For each family (or source): trials, those with |t| >= 3, kept, mean coefficient, mean later one of the strong."""
+    strong = F.abs("ic_t") >= 3
+    return trials.groupBy(by).agg(
+        F.count("*").alias("n"), F.count_if(strong).alias("n_strong"), F.count_if(F.col("status").isin("active", "probation")).alias("kept"), F.avg("ic_mean").alias("ic_mean"), F.avg(F.when(strong, F.col("later_ic_mean"))).alias("later_ic_mean")
+    )
+
+
+def family_cap(trials: DataFrame, n: int) -> DataFrame:
+    """The n rows of each family with the greatest |t|."""
+    return trials.withColumn("__k", F.row_number().over(Window.partitionBy("family").orderBy(F.desc_nulls_last(F.abs("ic_t")), "fingerprint"))).where(F.col("__k") <= n).drop("__k")
+
+
+def journal(trials: DataFrame) -> DataFrame:
+    """For each source: evaluated, probation, active."""
+    return trials.groupBy("source").agg(F.count("*").alias("evaluated"), F.count_if(F.col("status") == "probation").alias("probation"), F.count_if(F.col("status") == "active").alias("active"))
+
+
+def search_memory(trials: DataFrame) -> DataFrame:
+    """For each family: good count, three examples, mean later coefficient of the good; bad count, three commonest reasons."""
+    good = F.col("status").isin("active", "probation")
+    reason = F.trim(F.substring(F.substring_index(F.substring_index("reason", ";", 1), "=", 1), 1, 60))
+    counts = trials.where(~good & F.col("reason").isNotNull()).groupBy("family", reason.alias("why")).agg(F.count("*").alias("c"))
+    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("c"), "why"))).where("k <= 3").groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "why"))), lambda x: x["why"]).alias("reasons"))
+    named = trials.where(good).withColumn("k", F.row_number().over(Window.partitionBy("family").orderBy("created_at", "name"))).where("k <= 3").groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "expr"))), lambda x: x["expr"]).alias("examples"))
+    base = trials.groupBy("family").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), F.avg(F.when(good, F.col("later_ic_mean"))).alias("later_ic_mean"))
+    return base.join(named, "family", "left").join(top, "family", "left")
+
+
+def reconcile(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that only one of two stores has: side, key columns."""
+    left, right = absent(a.select(*key), b, key), absent(b.select(*key), a, key)
+    return left.select(F.lit("only_first").alias("side"), *key).unionByName(right.select(F.lit("only_second").alias("side"), *key))
+
+
+def merge_duplicates(library: DataFrame) -> DataFrame:
+    """Library rows with all but the earliest of a fingerprint retired."""
+    k = F.row_number().over(Window.partitionBy("fingerprint").orderBy("added_on", "name"))
+    return library.withColumn("status", F.when((k > 1) & (F.col("status") != "retired"), "retired").otherwise(F.col("status")))
+
+
+# Library lifecycle: one small table, stepped on the driver -----------------------------------------------------------------
+
+
+@dataclass
+class Member:
+    name: str
+    expr: str
+    sign: int
+    status: str = "probation"
+    strikes: int = 0
+    passes: int = 0
+    family: str = "other"
+    history: list = field(default_factory=list)
+
+    def recheck(self, t: float | None, n: int, day: str, min_t: float = 0.0, promote_t: float = 2.0) -> None:
+        """One revalidation over n > 20 observations: two strikes retire, two passes activate."""
+        if n <= 20 or self.status == "retired":
+            return
+        signed = (t if t is not None and not math.isnan(t) else -math.inf) * self.sign
+        if not signed >= min_t:
+            self.strikes, self.passes = self.strikes + 1, 0
+        elif signed >= promote_t:
+            self.passes += 1
+        self.status = "retired" if self.strikes >= 2 else "active" if self.passes >= 2 else self.status
+        self.history.append({"date": day, "status": self.status, "t": signed})
+
+
+class Bandit:
+    """Thompson sampling over families with Beta priors; each family gets at least `floor` of a budget."""
+
+    def __init__(self, families=fm.FAMILIES, seed: int = 7, floor: int = 1):
+        self.a, self.b = dict.fromkeys(families, 1.0), dict.fromkeys(families, 1.0)
+        self.rng, self.floor = np.random.default_rng(seed), floor
+
+    def allocate(self, budget: int) -> dict[str, int]:
+        out = dict.fromkeys(self.a, self.floor)
+        for _ in range(max(0, budget - sum(out.values()))):
+            draw = {k: self.rng.beta(self.a[k], self.b[k]) for k in self.a}
+            out[max(draw, key=draw.get)] += 1
+        return out
+
+    def update(self, name: str, rewarded: bool) -> None:
+        (self.a if rewarded else self.b)[name] += 1
+
+    def rates(self) -> dict[str, float]:
+        return {k: self.a[k] / (self.a[k] + self.b[k]) for k in self.a}
+
+
+def fitness(t: float, nodes: int, overlap: float, per_node: float = 0.05, per_overlap: float = 2.0) -> float:
+    return abs(t) - per_node * nodes - per_overlap * overlap
+
+
+def next_generation(parents: list[tuple[str, float]], n: int, seen: set[str], rng: random.Random, tries: int = 50) -> list[str]:
+    """n children that no fingerprint has been seen of, of parents chosen by fitness rank; `seen` grows with them."""
+    ranked = [f for f, _ in sorted(parents, key=lambda p: (-p[1], p[0]))]
+    out: list[str] = []
+    for _ in range(n * tries):
+        if len(out) >= n or not ranked:
+            break
+        a, b = (ranked[min(int(rng.expovariate(3 / len(ranked))), len(ranked) - 1)] for _ in range(2))
+        child = fm.crossover(a, b, rng) if rng.random() < 0.4 else fm.mutate(a, rng)
+        key = fm.fingerprint(child)
+        if key not in seen:
+            seen.add(key)
+            out.append(child)
+    return out
+
+
+@dataclass(frozen=True)
+class Gates:
+    """The thresholds of discovery."""
+
+    t: float = 3.0
+    dsr: float = 0.95
+    correlation: float = 0.7
+    nodes: int = 25
+    fields: int = 4
+    constants: int = 6
+    overlap: int = 8
+    probation_t: float = 3.0
+    reward_t: float = 1.0
+    promote_t: float = 2.0
+    per_family: int = 4
+    least_dates: int = 100
+
+    def describe(self) -> list[tuple[str, float]]:
+        return [(k, float(v)) for k, v in self.__dict__.items()]
+
+
+def screen(formula: str, zoo: fm.Zoo, seen: set[str], gates: Gates = Gates(), original: bool = True) -> str | None:
+    """Why a candidate goes before any data is read, or None; the last gate marks it as seen."""
+    ok, why = fm.is_valid(formula)
+    if not ok:
+        return f"invalid: {why}"
+    c = fm.complexity(formula)
+    for name, value, most in (("nodes", c.nodes, gates.nodes), ("fields", c.fields, gates.fields), ("constants", c.constants, gates.constants)):
+        if value > most:
+            return f"{name}={value}"
+    if original and (n := zoo.overlap(formula)) > gates.overlap:
+        return f"overlap={n}"
+    if (key := fm.fingerprint(formula)) in seen:
+        return "duplicate"
+    seen.add(key)
+    return None
+
+
+def greedy_gate(rows: list[dict], correlations: dict[tuple[str, str], float], gates: Gates = Gates(), members: dict[str, int] | None = None) -> list[dict]:
+    """Statuses of evaluated candidates (name, family, fingerprint, ic_t, sign, dsr), strongest first: each one kept limits
+    those after it, so the order is part of the rule; ties go by fingerprint."""
+    quota = dict(members or {})
+    kept: list[str] = []
+    prints: set[str] = set()
+    out = []
+    for r in sorted(rows, key=lambda r: (-abs(r["ic_t"]), r["fingerprint"])):
+        signed = r["ic_t"] * (r["sign"] or math.copysign(1, r["ic_t"]))
+        most = max((abs(correlations.get((min(r["name"], k), max(r["name"], k)), 0.0)) for k in kept), default=0.0)
+        reason = (
+            "duplicate" if r["fingerprint"] in prints else "wrong sign" if signed < 0 else f"t={signed:.2f}" if signed < gates.t else f"correlation={most:.2f}" if most > gates.correlation else f"family={r['family']}" if quota.get(r["family"], 0) >= gates.per_family else ""
+        )
+        prints.add(r["fingerprint"])
+        status = "rejected" if reason else "active" if r["dsr"] >= gates.dsr else "probation"
+        if not reason:
+            kept.append(r["name"])
+            quota[r["family"]] = quota.get(r["family"], 0) + 1
+        out.append(r | {"status": status, "reason": reason})
+    return out
+
+
+def content_hash(weights: Column) -> Column:
+    """Digest of a map of weights: keys in order, eight decimals."""
+    parts = F.transform(F.array_sort(F.map_entries(weights)), lambda e: F.concat_ws(":", e["key"], F.format_string("%.8f", e["value"])))
+    return F.sha2(F.array_join(parts, ","), 256)
+
+
+def book_limits(weights: Column, gross: float = 1.0, net: float = 1.0, name: float = 0.1) -> Column:
+    """Whether a target book keeps within gross, net and single-name limits."""
+    values = F.map_values(weights)
+    total = lambda f: F.aggregate(values, F.lit(0.0), lambda s, v: s + f(v))
+    return (total(F.abs) <= gross + 1e-9) & (F.abs(total(lambda v: v)) <= net + 1e-9) & (F.coalesce(F.array_max(F.transform(values, F.abs)), F.lit(0.0)) <= name + 1e-9)
+
+
+def publish(scores: DataFrame, topk: int) -> DataFrame:
+    """The last date's ranked names with equal target weights."""
+    last = scores.agg(F.max("dt").alias("dt"))
+    k = F.row_number().over(Window.partitionBy("dt").orderBy(F.desc("score"), "instrument"))
+    return scores.join(F.broadcast(last), "dt").where("score is not null").withColumn("rank", k).where(F.col("rank") <= topk).select("dt", "rank", "instrument", "score", F.lit(1.0 / topk).alias("weight"))
