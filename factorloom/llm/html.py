@@ -119,31 +119,28 @@ def kinds(page: str | None) -> Counter:
 
 
 def weights_of(counts: Counter) -> dict[str, float]:
-    """Log odds of being inside the article for each kind, smoothed; words are kept above or below zero by their side,
-    tags at or below zero."""
+    """Log odds of being inside the article for each kind, smoothed and bounded: words are above zero, or below it where a
+    kind is inside boilerplate; tags cost little where they are mostly inside, up to 1 where they are not."""
     found = {}
     for kind in {k for k, _ in counts}:
-        inside, outside = counts[kind, True], counts[kind, False]
-        odds = math.log((inside + 0.5) / (outside + 0.5))
-        if kind.startswith("<"):
-            found[kind] = max(-3.0, min(-0.05, odds - 3.0 if odds < 3 else -0.05))
-        else:
-            found[kind] = max(-3.0, min(-1.0, odds)) if kind.startswith("out ") else max(0.25, min(2.0, odds)) if not kind.startswith("a ") else max(-1.0, min(1.0, odds))
+        odds = math.log((counts[kind, True] + 0.5) / (counts[kind, False] + 0.5))
+        low, high = (-1.0, -0.05) if kind.startswith("<") else (OUT_WORD, -0.05) if kind.startswith("out ") else (LINK_WORD, 1.0) if kind.startswith("a ") else (0.25, 2.0)
+        found[kind] = max(low, min(high, odds))
     return found
 
 
-#: Scores of kinds that no labelled page has shown.
-WORD, LINK_WORD, OUT_WORD, TAG, INLINE_TAG = 1.0, -0.5, -2.0, -1.0, -0.05
+#: Scores of kinds that no labelled page has shown; words inside boilerplate are left out of the text wherever they are, so
+#: they cost no more than it takes to end a region at a long stretch of them.
+WORD, LINK_WORD, OUT_WORD, TAG, INLINE_TAG = 1.0, -0.5, -0.25, -0.3, -0.05
 
 
 def score(token: Token, weights: dict[str, float]) -> float:
     if not token.tag:
-        n = len(token.text.split())
         each = weights.get(token.kind)
         if each is None:
             each = OUT_WORD if token.out else LINK_WORD if token.kind.startswith("a ") else WORD
-        return n * each
-    if token.tag in INLINE or token.tag == "br":
+        return len(token.text.split()) * each
+    if token.out or token.tag in INLINE or token.tag == "br":
         return INLINE_TAG
     return weights.get(token.kind, TAG)
 
