@@ -1,39 +1,19 @@
-"""Shared plumbing: code shipping, the shared folder, sharding by a sorted key."""
+"""Shared plumbing: the shared folder, row keys, sharding by a sorted key, Arrow batches."""
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-_local: list[str] = []
-
+from ..runtime import ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, so that they need no shared code path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    folder = tempfile.mkdtemp(prefix="factorloom-code-")
-    path = os.path.join(folder, f"factorloom-{uuid.uuid4().hex[:8]}.zip")
-    Path(path).write_bytes(buffer.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+_local: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -120,3 +100,6 @@ def batch(ddl: str, *columns) -> pa.RecordBatch:
     """A record batch of columns in the order of `ddl`."""
     schema = arrow(ddl)
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+__all__ = ["ROW_KEY", "arrow", "batch", "crc32_of_id", "parts", "remove", "row_key", "save", "scratch", "shard_of", "shared_root", "ship", "split_points", "table"]
