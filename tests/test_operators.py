@@ -229,3 +229,48 @@ def test_checks_flag_a_constant_factor(spark):
     rows = [(f, D(2020, 1, 1 + d), str(i), v) for d in range(6) for i in range(40) for f, v in (("good", float(rng.normal())), ("flat", 1.0), ("thin", float(rng.normal()) if i < 3 else None))]
     got = {r["factor"]: r["passed"] for r in crosssection.numerical_checks(spark.createDataFrame(rows, "factor string, dt date, instrument string, value double")).collect()}
     assert got == {"good": True, "flat": False, "thin": False}
+
+
+def test_covariance_shrinks_toward_the_identity():
+    from factorloom.operators.models import folds, shrunk_covariance
+
+    rng = np.random.default_rng(7)
+    few, many = (shrunk_covariance(rng.normal(size=(n, 10))) for n in (12, 5000))
+    off = lambda m: np.abs(m - np.diag(np.diag(m))).max()
+    assert off(few) < 0.35 and off(many) < 0.06 and np.linalg.eigvalsh(few).min() > 0
+    assert folds(2010, 2018, 6) == [((2010, 2015), 2016, 2017), ((2011, 2016), 2017, 2018)]
+
+
+def test_target_books_are_sealed(tmp_path):
+    import json
+
+    from factorloom.operators import reports
+
+    path = str(tmp_path / "book.json")
+    reports.write_targets(path, "2024-01-05", "s", {"a": 0.05, "b": 0.04})
+    assert reports.read_targets(path)["weights"] == {"a": 0.05, "b": 0.04}
+    with pytest.raises(reports.RefusedBook):
+        reports.write_targets(path, "2024-01-05", "s", {"a": 0.5})
+    book = json.loads(open(path).read())
+    book["weights"]["a"] = 0.06
+    open(path, "w").write(json.dumps(book))
+    with pytest.raises(reports.RefusedBook):
+        reports.read_targets(path)
+
+
+def test_cards_and_preregistration():
+    from factorloom.operators import reports
+    from factorloom.plans.studies import preregister
+
+    good = {"sharpe": 2.0, "info_ratio": 1.0, "n_days": 1000}
+    assert reports.card(good, 0.99, good, 20, 3.0)["tier"] == "live candidate"
+    assert reports.card(good | {"info_ratio": -1}, 0.2)["tier"] == "research"
+    assert "Tier" in reports.card_text("x", reports.card(good, 0.99))
+    assert preregister("$close+$open", 1, "why", "me")["content_sha"] == preregister("$open+$close", 1, "why", "me")["content_sha"]
+
+
+def test_synthetic_panel_is_seeded(spark):
+    from factorloom.sources.synthetic import panel
+
+    a, b = (panel(spark, 10, 3, seed=1).agg(F.sum("close")).first()[0] for _ in range(2))
+    assert a == b
