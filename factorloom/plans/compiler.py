@@ -32,8 +32,9 @@ def finite(x: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """a / b with signed infinities for division by zero, NULL for 0 / 0; never raises under ANSI."""
-    return F.when(b == 0, F.when(F.isnan(a), None).when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF))).otherwise(F.try_divide(a, b))
+    """a / b with signed infinities for division by zero and NaN for 0 / 0; never raises under ANSI. The second branch is
+    reached for b = 0, or where a or b is NULL and so it is too."""
+    return F.coalesce(F.try_divide(a, b), a * (b * 0 + F.lit(INF)))
 
 
 class Frames:
@@ -84,14 +85,22 @@ def ema_rows(w: int) -> int:
 
 
 def _ema(x: Column, w: int, fr: Frames) -> Column:
-    keep = 1 - 2.0 / (w + 1)
-    over = fr.order.rowsBetween(-ema_rows(w), 0)
-    seen = F.collect_list(F.when(x.isNotNull(), F.struct(F.col("pos").alias("p"), x.alias("v")))).over(over)
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-    weight = lambda e: F.pow(F.lit(keep), (F.col("pos") - e["p"]).cast("double"))
-    total = F.aggregate(seen, zero, lambda s, e: F.struct((s["n"] + e["v"] * weight(e)).alias("n"), (s["d"] + weight(e)).alias("d")))
+    """Weighted sums over a bounded frame. Weights are powers relative to the start of a segment as long as the frame, so
+    that they neither overflow nor vanish; a frame touches the row's own segment and the one before."""
+    keep, length = 1 - 2.0 / (w + 1), ema_rows(w)
+    over = fr.order.rowsBetween(-(length - 1), 0)
+    at, odd = F.col("pos") % length, F.floor(F.col("pos") / length) % 2
+    grown = F.when(x.isNotNull(), F.pow(F.lit(1 / keep), at.cast("double")))
+    part = lambda value, parity: F.coalesce(F.sum(F.when(odd == parity, value)).over(over), F.lit(0.0))
+    back = F.lit(keep**length)
+
+    def total(value: Column) -> Column:
+        even, uneven = part(value, 0), part(value, 1)
+        return F.when(odd == 0, even + uneven * back).otherwise(uneven + even * back)
+
+    bottom = total(grown)
     enough = F.count(x).over(fr.order.rowsBetween(Window.unboundedPreceding, 0)) >= least_seen(w)
-    return F.when(enough, F.try_divide(total["n"], total["d"]))
+    return F.when(enough, F.try_divide(total(x * grown), F.when(bottom > 0, bottom)))
 
 
 def _wma(x: Column, w: int, fr: Frames) -> Column:
@@ -236,8 +245,14 @@ class Batch:
             return F.col(self.column_of(node))
         return ELEMENT[node.op](*map(self.expression, node.args))
 
+    def input_of(self, node: Node) -> str:
+        """The column that holds a rolling operator's input."""
+        if isinstance(node, Field):
+            return node.name
+        return self.column_of(node) if isinstance(node, Call) and node.rolling else "i" + self.column_of(node)
+
     def rolling(self, call: Call) -> Column:
-        series = [finite(self.expression(s)) for s in call.series]
+        series = [F.col(self.input_of(s)) for s in call.series]
         if call.op == "Quantile":
             q = float(constant(call.args[2]))
             return _plain(lambda x: F.percentile(x, F.lit(q)))(series[0], call.window, self.frames)
@@ -245,15 +260,33 @@ class Batch:
 
     def apply(self, panel: DataFrame, keep: tuple[str, ...] = ("instrument", "dt")) -> DataFrame:
         """The panel's `keep` columns and one column for each formula."""
-        df = panel
+        used = sorted({n.name for root in self.roots.values() for n in self._every(root) if isinstance(n, Field)})
+        df = panel.withColumns({f: finite(F.col(f).cast("double")) for f in used})
         for level in sorted(self.levels):
+            inputs = {self.input_of(s): s for call in self.levels[level].values() for s in call.series}
+            fresh = {name: finite(self.expression(s)) for name, s in sorted(inputs.items()) if name not in df.columns}
+            df = df.withColumns(fresh) if fresh else df  # once a column, however often a window function needs it
             df = df.withColumns({name: self.rolling(call) for name, call in sorted(self.levels[level].items())})
         return df.select(*keep, *[finite(self.expression(root)).alias(name) for name, root in self.roots.items()])
 
 
-def evaluate(panel: DataFrame, formulas: Mapping[str, str] | str, keep: tuple[str, ...] = ("instrument", "dt"), centred: bool = False) -> DataFrame:
-    """Values of formulas over a dense panel (instrument, dt, pos and the fields)."""
-    return Batch({"value": formulas} if isinstance(formulas, str) else formulas, centred).apply(panel, keep)
+#: Batches with more rolling operators than this are evaluated by blocks.
+COLUMN_OPERATORS = 6
+
+
+def evaluate(panel: DataFrame, formulas: Mapping[str, str] | str, keep: tuple[str, ...] = ("instrument", "dt"), centred: bool = False, engine: str | None = None) -> DataFrame:
+    """Values of formulas over a dense panel (instrument, dt, pos and the fields).
+
+    `engine` is "columns" (window expressions) or "blocks" (one history at a time, see vector.py); by default small batches
+    are columns. Centred frames exist as columns only."""
+    batch = Batch({"value": formulas} if isinstance(formulas, str) else formulas, centred)
+    engine = engine or ("columns" if centred or sum(map(len, batch.levels.values())) <= COLUMN_OPERATORS else "blocks")
+    if engine == "columns":
+        return batch.apply(panel, keep)
+    from . import vector
+
+    used = sorted({n.name for root in batch.roots.values() for n in batch._every(root) if isinstance(n, Field)})
+    return vector.apply(panel, batch.roots, keep, used)
 
 
 def label(x: Column, horizon: int, lag: int = 1) -> Column:
