@@ -20,6 +20,8 @@ from . import common
 #: Bounds of what the classifier is fitted on: characters of dictionary for each language, and of each text.
 DICTIONARY_CHARS = 98_304
 CHARS_OF_TEXT = 2_048
+#: The model has a dictionary a language; more values than this are refused.
+MOST_LANGUAGES = 10_000
 LEVEL = 5
 WINDOW = 4_096
 NARROW = 0.02
@@ -38,15 +40,19 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tie
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, of_text).alias("text"), F.xxhash64(F.lit(7), tie_col, text_col).alias("h")
     )
     sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))
+    known = sums.limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang_col} a language?")
+    sums = rows.sparkSession.createDataFrame([(r["lang"], r["n"], r["c"]) for r in known], "lang string, n long, c long")
     # about four times the texts that the dictionary takes; a language with fewer keeps all
     share = F.least(F.lit(1.0), F.lit(4.0 * chars) / F.col("c") + F.lit(40.0) / F.col("n"))
-    cut = rows.join(F.broadcast(sums.limit(10_000)), "lang").where((F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
+    cut = rows.join(F.broadcast(sums), "lang").where((F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
     kept = cut.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars)
     texts: dict[str, list[str]] = {}
     for r in kept.select("lang", "h", "text").orderBy("lang", F.desc("h"), "text").collect():  # bounded by languages * (chars + of_text)
         texts.setdefault(r["lang"], []).append(r["text"])
-    share_of = {r["lang"]: r["n"] for r in sums.limit(10_000).collect()}
+    share_of = {r["lang"]: r["n"] for r in known}
     order = sorted(texts, key=lambda k: (-share_of.get(k, 0), k))
     return {k: " ".join(map(letters_of, texts[k])).encode("utf-8", "surrogatepass") for k in order}
 
