@@ -274,3 +274,13 @@ def test_synthetic_panel_is_seeded(spark):
 
     a, b = (panel(spark, 10, 3, seed=1).agg(F.sum("close")).first()[0] for _ in range(2))
     assert a == b
+
+
+def test_normal_distribution_as_a_column(spark):
+    from statistics import NormalDist
+
+    from factorloom.functions.scalars import normal_cdf
+
+    points = [-4.0, -1.5, -0.1, 0.0, 0.7, 2.0, 5.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in points], "x double").select(normal_cdf(F.col("x"))).collect()]
+    assert np.allclose(got, [NormalDist().cdf(x) for x in points], atol=2e-7)
