@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of the test items are counted over all training documents; each item keeps its rarer half as seeds, so
-an item that was copied everywhere keeps its seeds too. A document that holds a seed is aligned with that item, word by
-word, around each cluster of its seeds; a local alignment that scores a large enough share of the item's own score is a
-leak, be the copy whole, edited or paraphrased in part.
+Every word n-gram of a test item is a seed: which ones an edited copy keeps is not known from how rare they are. A
+document that holds a seed is aligned with that item, word by word, around each cluster of its seeds, unless too few of
+the item's words are there for any alignment to reach the bound; a local alignment that scores a large enough share of
+the item's own score is a leak, be the copy whole, edited or paraphrased in part.
 """
 
 from __future__ import annotations
@@ -50,7 +50,8 @@ class Items:
         self.distinct = np.unique(gram)
 
     def keep_rare(self, frequency: np.ndarray, least: int = LEAST_SEEDS) -> None:
-        """Keep each item's rarer half of n-grams, `least` of them at least; ties by place."""
+        """Keep each item's rarer half of n-grams, `least` of them at least; ties by place. Only for texts that hold items
+        whole: an edited copy may keep just the n-grams that are dropped here, so `find_leaks` seeds with all of them."""
         f = frequency[np.searchsorted(self.distinct, self.gram)]
         order = np.lexsort((self.place, f, self.owner))
         size = np.bincount(self.owner, minlength=len(self.rows))
@@ -102,6 +103,8 @@ def leaks_of(words: np.ndarray, items: Items, leak: float = LEAK) -> list[tuple[
         best = None
         for group in np.split(at, np.flatnonzero(np.diff(at) > len(item)) + 1):
             lo, hi = max(0, int(group[0]) - len(item) // 2 - 2), min(len(words), int(group[-1]) + len(item) + len(item) // 2 + 2)
+            if np.isin(item, words[lo:hi]).mean() < leak:  # a score is at most MATCH for each word of the item that is there
+                continue
             score, start, end = align(item, words[lo:hi])
             share = score / (MATCH * len(item))
             if best is None or share > best[1]:
@@ -111,26 +114,9 @@ def leaks_of(words: np.ndarray, items: Items, leak: float = LEAK) -> list[tuple[
     return found
 
 
-def _count(rows: list[tuple[int, str | None]]):
+def _find(rows: list[tuple[int, str | None]], leak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows)
-        n = np.zeros(len(items.distinct), dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                grams = np.unique(hashing.runs(words_of(text), items.ngram))
-                if len(grams) and len(n):
-                    at = np.minimum(np.searchsorted(items.distinct, grams), len(n) - 1)
-                    n[at[items.distinct[at] == grams]] += 1
-        seen = np.flatnonzero(n)
-        yield common.batch("gram long, n long", seen, n[seen])
-
-    return run
-
-
-def _find(rows: list[tuple[int, str | None]], frequency: np.ndarray, leak: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows)
-        items.keep_rare(frequency)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -164,33 +150,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in _item_blocks(benchmark, item_col, item_text_col):
-        part = rows.mapInArrow(_find(block, _frequency(rows, block), leak), LEAK_SCHEMA)
+        part = rows.mapInArrow(_find(block, leak), LEAK_SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], LEAK_SCHEMA) if out is None else out
 
 
-def _frequency(texts: DataFrame, block: list[tuple[int, str | None]]) -> np.ndarray:
-    """Documents that hold each n-gram of a block of items; bounded by the block."""
-    frequency = np.zeros(len(Items(block).distinct), dtype=np.int64)
-    for r in texts.select("text").mapInArrow(_count(block), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        frequency[r["gram"]] = r["n"]
-    return frequency
-
-
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", leak: float = LEAK) -> DataFrame:
     """The documents that leak no test item, with all their columns."""
     common.ship(docs.sparkSession)
-    texts = docs.select(F.col(text_col).alias("text"))
     for block in _item_blocks(benchmark, item_col, item_text_col):
-        docs = docs.where(~_leaky(block, _frequency(texts, block), leak)(F.col(text_col)))
+        docs = docs.where(~_leaky(block, leak)(F.col(text_col)))
     return docs
 
 
-def _leaky(block: list[tuple[int, str | None]], frequency: np.ndarray, leak: float):
+def _leaky(block: list[tuple[int, str | None]], leak: float):
     @F.pandas_udf("boolean")
     def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         items = Items(block)
-        items.keep_rare(frequency)
         for texts in batches:
             yield pd.Series([bool(leaks_of(words_of(t), items, leak)) for t in texts], dtype=bool)
 

@@ -185,6 +185,17 @@ def test_item_blocks_give_the_same_leaks(spark, monkeypatch):
     assert {tuple(r) for r in leaks.find_leaks(docs, bench).select("doc_id", "item_id").collect()} == whole == {(i, i) for i in range(9)}
 
 
+def test_edited_copies_leak_whatever_the_counts(spark, docs):
+    rng = random.Random(14)
+    item = words(rng, 40).split()
+    edited = [w if k % 4 < 3 else f"other{k}" for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    held = spark.createDataFrame([(1000 + i, words(rng, 60) + " " + " ".join(edited) + " " + words(rng, 60), None, None, None, None, None, None) for i in range(5)], DOCS)
+    both = docs.unionByName(held)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(both, bench).collect()} == {(1000 + i, 0) for i in range(5)}
+    assert leaks.without_leaks(both, bench).count() == docs.count()
+
+
 def test_repeated_passages_go_from_all_but_the_first(spark, docs, empty):
     rng = random.Random(13)
     passage = " ".join(words(rng, 12) for _ in range(6))
