@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import ORACLES, query
 from ..operators import statistics as st
 from ..operators.risk import returns
 from .base import dense, dense_sql, rounded, sql_round
 from .crosssection import _CORR, _PCT
 
-#: Eight suppliers stand for strategies.
+#: The SQL of eight queries takes eight suppliers as strategies; their `_all` forms at the end take every supplier.
 _NAMES = [str(i) for i in range(1, 9)]
 _LIST = ", ".join(f"'{n}'" for n in _NAMES)
 _RET_SQL = f"""{dense_sql('supp_week')}, a AS (SELECT instrument AS strategy, dt AS t, close / lag(close, 1) OVER (PARTITION BY instrument ORDER BY pos) - 1 AS ret FROM d),
 s AS (SELECT * FROM a WHERE strategy IN ({_LIST}) AND ret IS NOT NULL)"""
 
 
-def strategies(spark, sf_dir):
-    r = returns(dense(spark, sf_dir, "supp_week").where(F.col("instrument").isin(_NAMES)))
+_ALL_SQL = _RET_SQL.replace(f"strategy IN ({_LIST}) AND ", "")
+
+
+def all_strategies(spark, sf_dir):
+    r = returns(dense(spark, sf_dir, "supp_week"))
     return r.select(F.col("instrument").alias("strategy"), F.col("dt").alias("t"), "ret").where("ret is not null")
 
 
+def strategies(spark, sf_dir):
+    return all_strategies(spark, sf_dir).where(F.col("strategy").isin(_NAMES))
+
+
 @query(
     "tstat_sharpe",
     f"{_RET_SQL} SELECT strategy, {sql_round('avg(ret) / (stddev_samp(ret) / sqrt(count(ret)))', 6)} AS t, {sql_round('avg(ret) / stddev_samp(ret) * sqrt(52)', 6)} AS sharpe FROM s GROUP BY strategy",
 )
-def tstat_sharpe(spark, sf_dir):
-    return strategies(spark, sf_dir).groupBy("strategy").agg(rounded(st.tstat(F.col("ret")), 6).alias("t"), rounded(st.sharpe(F.col("ret"), 52), 6).alias("sharpe"))
+def tstat_sharpe(spark, sf_dir, of=strategies):
+    return of(spark, sf_dir).groupBy("strategy").agg(rounded(st.tstat(F.col("ret")), 6).alias("t"), rounded(st.sharpe(F.col("ret"), 52), 6).alias("sharpe"))
 
 
 @query(
@@ -35,27 +44,27 @@ def tstat_sharpe(spark, sf_dir):
     f"""{_RET_SQL}, m AS (SELECT *, ret - avg(ret) OVER (PARTITION BY strategy) AS e FROM s)
 SELECT strategy, count(*) AS n, {sql_round('avg(ret)', 6)} AS mean, {sql_round('stddev_samp(ret)', 6)} AS sd, {sql_round('avg(e*e*e) / pow(avg(e*e), 1.5)', 5)} AS skew, {sql_round('avg(e*e*e*e) / pow(avg(e*e), 2)', 5)} AS kurt FROM m GROUP BY strategy""",
 )
-def moments_for_dsr(spark, sf_dir):
-    return st.moments(strategies(spark, sf_dir)).select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("mean", 6), ("sd", 6), ("skew", 5), ("kurt", 5))])
+def moments_for_dsr(spark, sf_dir, of=strategies):
+    return st.moments(of(spark, sf_dir)).select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("mean", 6), ("sd", 6), ("skew", 5), ("kurt", 5))])
 
 
 @query("deflated_sharpe")
 def deflated_sharpe(spark, sf_dir):
     """No SQL: DuckDB has no normal distribution."""
-    return st.deflated_sharpe(strategies(spark, sf_dir))
+    return st.deflated_sharpe(all_strategies(spark, sf_dir))
 
 
 @query(
     "nonoverlap",
     f"{_RET_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY t) - 1 AS k FROM s) SELECT strategy, t, {sql_round('ret', 6)} AS ret FROM k WHERE k % 5 = 0",
 )
-def nonoverlap(spark, sf_dir):
-    return st.nonoverlapping(strategies(spark, sf_dir), 5, ["strategy"], "t").withColumn("ret", rounded(F.col("ret"), 6))
+def nonoverlap(spark, sf_dir, of=strategies):
+    return st.nonoverlapping(of(spark, sf_dir), 5, ["strategy"], "t").withColumn("ret", rounded(F.col("ret"), 6))
 
 
 @query("autocorr", f"{_RET_SQL}, b AS (SELECT strategy, ret, lag(ret) OVER (PARTITION BY strategy ORDER BY t) AS b FROM s) SELECT strategy, {sql_round('corr(ret, b)', 6)} AS rho FROM b WHERE b IS NOT NULL GROUP BY strategy")
-def autocorr(spark, sf_dir):
-    return st.autocorrelation(strategies(spark, sf_dir)).withColumn("rho", rounded(F.col("rho"), 6))
+def autocorr(spark, sf_dir, of=strategies):
+    return st.autocorrelation(of(spark, sf_dir)).withColumn("rho", rounded(F.col("rho"), 6))
 
 
 @query(
@@ -65,13 +74,13 @@ p AS (SELECT strategy, m, ret - m AS e, lag(ret - m, 1) OVER o AS e1, lag(ret -
 g AS (SELECT strategy, count(*) AS n, first(m) AS mean, (sum(e*e) + 2 * (0.75 * sum(e*e1) + 0.5 * sum(e*e2) + 0.25 * sum(e*e3))) / count(*) AS lr FROM p GROUP BY strategy)
 SELECT strategy, n, {sql_round('mean', 6)} AS mean, {sql_round('CASE WHEN lr > 0 THEN mean / sqrt(lr / n) END', 5)} AS t_nw FROM g""",
 )
-def newey_west(spark, sf_dir):
-    return st.newey_west(strategies(spark, sf_dir), 3).select("strategy", "n", rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("t_nw"), 5).alias("t_nw"))
+def newey_west(spark, sf_dir, of=strategies):
+    return st.newey_west(of(spark, sf_dir), 3).select("strategy", "n", rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("t_nw"), 5).alias("t_nw"))
 
 
 @query("effective_breadth_pairs", f"{_RET_SQL} SELECT x.strategy AS a, y.strategy AS b, {sql_round('corr(x.ret, y.ret)', 6)} AS corr FROM s x JOIN s y ON x.t = y.t AND x.strategy < y.strategy GROUP BY 1, 2")
-def effective_breadth_pairs(spark, sf_dir):
-    return st.pair_correlations(strategies(spark, sf_dir)).withColumn("corr", rounded(F.col("corr"), 6))
+def effective_breadth_pairs(spark, sf_dir, of=strategies):
+    return st.pair_correlations(of(spark, sf_dir)).withColumn("corr", rounded(F.col("corr"), 6))
 
 
 @query(
@@ -79,8 +88,8 @@ def effective_breadth_pairs(spark, sf_dir):
     f"""{_RET_SQL} SELECT strategy, count(*) AS n, {sql_round('avg(ret)', 6)} AS mean, {sql_round('CASE WHEN min(ret) > -1 THEN avg(ln(1 + ret)) END', 6)} AS log_growth,
 {sql_round('CASE WHEN min(ret) > -1 THEN exp(avg(ln(1 + ret))) - 1 END', 6)} AS geometric, {sql_round('skewness(ret)', 5)} AS skew, min(ret) <= -1 AS ruined FROM s GROUP BY strategy""",
 )
-def log_wealth(spark, sf_dir):
-    out = st.log_wealth(strategies(spark, sf_dir))
+def log_wealth(spark, sf_dir, of=strategies):
+    out = st.log_wealth(of(spark, sf_dir))
     return out.select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("mean", 6), ("log_growth", 6), ("geometric", 6), ("skew", 5))], "ruined")
 
 
@@ -93,22 +102,25 @@ p AS (SELECT x.strategy, x.c + y.c AS c, x.s + y.s AS s, x.ss + y.ss AS ss FROM
 q AS (SELECT strategy, (s / c) / sqrt((ss - s * s / c) / (c - 1)) * sqrt(52) AS r FROM p)
 SELECT strategy, count(r) AS paths, {sql_round('quantile_cont(r, 0.05::DOUBLE)', 5)} AS p05, {sql_round('quantile_cont(r, 0.5::DOUBLE)', 5)} AS p50, {sql_round('quantile_cont(r, 0.95::DOUBLE)', 5)} AS p95, {sql_round('avg(CAST(r < 0 AS INT))', 6)} AS p_negative FROM q GROUP BY strategy""",
 )
-def cpcv(spark, sf_dir):
-    out = st.cpcv(strategies(spark, sf_dir), periods=52)
+def cpcv(spark, sf_dir, of=strategies):
+    out = st.cpcv(of(spark, sf_dir), periods=52)
     return out.select("strategy", "paths", *[rounded(F.col(c), k).alias(c) for c, k in (("p05", 5), ("p50", 5), ("p95", 5), ("p_negative", 6))])
 
 
 @query("overfitting_probability")
 def overfitting_probability(spark, sf_dir):
-    """One number by sampling combinations of block halves on the driver; no SQL."""
-    p = st.overfitting_probability(strategies(spark, sf_dir).where(F.col("strategy").isin(_NAMES[:4])), blocks=8)
+    """One number by sampling combinations of block halves on the driver; no SQL. Suppliers share no week, so a strategy
+    holds all suppliers of a nation in equal parts."""
+    nation = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("strategy"), F.col("s_nationkey").alias("nation"))
+    held = all_strategies(spark, sf_dir).join(nation, "strategy").groupBy(F.col("nation").alias("strategy"), "t").agg(F.avg("ret").alias("ret"))
+    p = st.overfitting_probability(held, blocks=8)
     return spark.createDataFrame([(float(p),)], "pbo double")
 
 
 @query("effective_trials")
 def effective_trials(spark, sf_dir):
     """Eigenvalues of the correlation matrix; no SQL."""
-    found = st.effective_trials(strategies(spark, sf_dir)) | st.effective_breadth(strategies(spark, sf_dir))
+    found = st.effective_trials(all_strategies(spark, sf_dir)) | st.effective_breadth(all_strategies(spark, sf_dir))
     return spark.createDataFrame([(k, float(v)) for k, v in sorted(found.items())], "measure string, value double")
 
 
@@ -137,3 +149,7 @@ def lag_decay(spark, sf_dir):
     from .crosssection import values
 
     return st.lag_decay(values(spark, sf_dir), (0, 1, 2))
+
+
+for _f in (tstat_sharpe, moments_for_dsr, nonoverlap, autocorr, newey_west, effective_breadth_pairs, log_wealth, cpcv):
+    query(f"{_f.__name__}_all", ORACLES[_f.__name__].replace(_RET_SQL, _ALL_SQL))(partial(_f, of=all_strategies))
