@@ -50,3 +50,14 @@ def test_driver_side_statistics_take_every_supplier(spark, sf, names):
     found = {r["measure"]: r["value"] for r in catalog.QUERIES["effective_trials"](spark, sf).collect()}
     assert found["n_raw"] == found["n_instruments"] == len(names)
     assert not math.isnan(catalog.QUERIES["overfitting_probability"](spark, "/root/testdata/sf0.01").first()["pbo"])
+
+
+def test_metrics_of_every_supplier(spark, sf, db, names):
+    df = catalog.QUERIES["metrics_all"](spark, sf)
+    columns = sorted(df.columns)
+    rows = df.collect()
+    assert {r["run"] for r in rows} == names
+    found = db.execute(catalog.ORACLES["metrics_all"])
+    at = [d[0] for d in found.description]
+    want = sorted((tuple(plain(r[at.index(c)]) for c in columns) for r in found.fetchall()), key=str)
+    assert sorted((tuple(plain(r[c]) for c in columns) for r in rows), key=str) == want
