@@ -31,20 +31,41 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "label", "fieldset", "input"}
 ARTICLE = {"article", "main"}
-#: Words in class, id and role attributes that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|widget|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|"
-    r"notice|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|comments?|disqus|respond|replies|reply|discussion|share|sharing|social|"
-    r"related|recommended|recommendations|trending|popular|pagination|pager|toolbar|copyright|legal|complementary|contentinfo)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+#: Words that mark what is not the article where a whole class, id, role or label says nothing else.
+MARKS = set(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar side aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
+    "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login search form comment comments disqus respond replies reply discussion share sharing social "
+    "related recommended recommendations trending popular pagination pager toolbar copyright legal complementary contentinfo".split()
 )
+#: Words beside a mark that only say where or in what shape it is.
+PLACES = set("site page main top bottom left right upper lower primary secondary global container wrapper wrap inner outer box bar area section block list links items item group posts articles stories".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.DOTALL)
-_MARKED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
-_MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _marks(name: str) -> bool:
+    """Whether a name is made of marks and places alone; what follows a digit counts for nothing ('ad-300x250')."""
+    parts = [x for x in (re.split(r"\d", x, maxsplit=1)[0] for x in re.split(r"[\s_-]+", name.lower())) if x]
+    return any(x in MARKS for x in parts) and all(x in MARKS or x in PLACES for x in parts)
+
+
+def _says(attributes: str) -> tuple[bool, bool, bool]:
+    """(is hidden, has a mark, is the main part) by a tag's own attributes."""
+    hidden = mark = main = False
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NONE.search(value)):
+            hidden = True
+        elif name in ("class", "id", "role"):
+            mark = mark or any(map(_marks, value.split()))
+            main = main or (name == "role" and "main" in value.lower().split())
+        elif name == "aria-label":
+            mark = mark or _marks(value)
+    return hidden, mark, main
+
+
 class Token:
     """A run of text (`tag` is '') or a tag; `kind` is what weights are learned for; `out` says that it is inside
     boilerplate, `article` that it is inside a marked article."""
@@ -56,15 +77,28 @@ class Token:
 
 
 def tokenize(page: str | None) -> list[Token]:
-    """Tokens of a page; raw elements, comments and declarations are skipped, cut-off tags at the end too."""
-    page = page or ""
+    """Tokens of a page; raw elements, comments and declarations are skipped, cut-off tags at the end too. What wraps the
+    longest marked article is no boilerplate for it."""
+    tokens, wrappers = _tokenize(page or "", frozenset())
+    return _tokenize(page or "", wrappers)[0] if wrappers else tokens
+
+
+def _tokenize(page: str, kept: frozenset[int]) -> tuple[list[Token], frozenset[int]]:
+    """Tokens, where the elements that begin at `kept` are no boilerplate, and the boilerplate elements around the longest
+    marked article, one that is not hidden if there is any. An article in an article is a comment on it."""
     tokens: list[Token] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, inside boilerplate, inside an article, inside a link
+    # element, inside a link, 1 in a main part and 2 in an article, its number, innermost boilerplate: (start, hidden, next one)
+    outside = ("", False, 0, -1, None)
+    stack: list[tuple] = []
+    around, seen, length = [], [], []  # of each marked article: boilerplate, whether it is not hidden, characters
     at, low = 0, page.lower()
 
     def put(text: str) -> None:
         if text:
-            out, article, link = stack[-1][1:] if stack else (False, False, False)
+            _, link, inside, number, wrap = stack[-1] if stack else outside
+            out, article = wrap is not None, inside > 0
+            if article:
+                length[number] += len(text.strip())
             block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "body")
             tokens.append(Token(html.unescape(text), "", f"{'out ' if out else ''}{'a ' if link else ''}{block}", out, article))
 
@@ -84,7 +118,7 @@ def tokenize(page: str | None) -> list[Token]:
             tokens.append(Token("", tag, f"<{tag}", True, False))
             continue
         if closing:
-            inside = stack[-1][1:3] if stack else (False, False)
+            _, _, inside, _, wrap = stack[-1] if stack else outside
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -92,19 +126,30 @@ def tokenize(page: str | None) -> list[Token]:
         else:
             while stack and stack[-1][0] in _CLOSES.get(tag, ()):
                 stack.pop()
-            _, out, article, link = stack[-1] if stack else ("", False, False, False)
-            marked = " ".join(x for g in _MARKED.findall(attributes) for x in g)
-            article = article or tag in ARTICLE or bool(_MAIN_ROLE.search(attributes))
-            out = out or tag in BOILERPLATE or (tag == "header" and not article) or (tag not in ARTICLE and tag not in ("html", "body") and bool(marked and MARKS.search(marked))) or bool(_HIDDEN.search(attributes))
-            inside = (out, article)
+            _, link, inside, number, wrap = stack[-1] if stack else outside
+            hidden, mark, main = _says(attributes)
+            level = 2 if tag == "article" else 1 if tag in ARTICLE or main else 0
+            if level > inside:
+                around.append(wrap)
+                seen.append(not (hidden or (wrap and wrap[1])))
+                length.append(0)
+                inside, number = level, len(around) - 1
+            boilerplate = hidden or tag in BOILERPLATE or (tag == "header" and not inside) or (mark and not level and tag not in ("html", "body"))
+            if boilerplate and m.start() not in kept:
+                wrap = (m.start(), bool(hidden or (wrap and wrap[1])), wrap)
             if tag not in VOID and not attributes.rstrip().endswith("/"):
-                stack.append((tag, out, article, link or tag == "a"))
-        tokens.append(Token("", tag, f"<{tag}", *inside))
+                stack.append((tag, link or tag == "a", inside, number, wrap))
+        tokens.append(Token("", tag, f"<{tag}", wrap is not None, inside > 0))
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<(?:/?[a-zA-Z]|!|/?\Z)", rest)
         put(rest[: cut.start()] if cut else rest)
-    return tokens
+    found = set()
+    wrap = max(zip(((s and n > 0, n) for s, n in zip(seen, length)), around), key=lambda x: x[0], default=(0, None))[1]
+    while wrap:
+        found.add(wrap[0])
+        wrap = wrap[2]
+    return tokens, frozenset(found)
 
 
 def kinds(page: str | None) -> Counter:

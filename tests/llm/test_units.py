@@ -224,6 +224,26 @@ PAGE = """<html><head><title>x &amp; y</title><style>p{}</style></head><body><he
 MAIN = "The title First boldly <said> words of a story. Next line Second paragraph that is open Last."
 
 
+STORY = "<h1>Title</h1><p>" + "one two three four five six seven eight " * 4 + "</p>"
+WRAPPERS = ['style="overflow: hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'data-hidden="no"', 'class="layout has-sidebar"', 'class="sidebar"', 'id="form" class="menu layout"', 'hidden', 'aria-label="How to form a legal person"']
+
+
+@pytest.mark.parametrize("attributes", WRAPPERS)
+def test_a_wrapper_never_puts_the_article_out(attributes):
+    want = " ".join(STORY.replace("<p>", " <p>").replace("<h1>", "").replace("</h1>", "").replace("<p>", "").replace("</p>", "").split())
+    page = f"<html><body><nav>Home</nav><div {attributes}><main><div class='sidebar'><article>{STORY}</article><aside><article>Teaser text</article></aside></div></main></div><footer>us</footer></body></html>"
+    assert html.main_text(page, {}) == want
+    if attributes not in ("hidden", 'class="sidebar"', 'id="form" class="menu layout"'):
+        assert html.main_text(f"<body><nav>Home</nav><div {attributes}>{STORY}</div></body>", {}) == want
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "aria-hidden=true", 'style="color: red; display: none"', 'class="sidebar"', 'class="cookie-notice x"', 'id="comments"', 'class="ad-300x250"', 'role="search"', 'aria-label="Main navigation"'])
+def test_boilerplate_in_an_article_stays_out(attributes):
+    page = f"<body><article>{STORY}<div {attributes}>left <article>out</article></div>{STORY}</article><div class='related'><article>Some teaser</article></div></body>"
+    text = html.main_text(page, {})
+    assert text.count("Title") == 2 and "left" not in text and "out" not in text and "teaser" not in text
+
+
 @pytest.mark.parametrize("tag", ["article", "main", 'div class="post"'])
 def test_main_text_leaves_boilerplate_out(tag):
     weights = html.weights_of(html.kinds(PAGE.replace("{tag}", "article")))
