@@ -3,13 +3,15 @@
 Credential-shaped spans are found in every text. Each candidate value is hashed, and the corpus tells how many distinct
 owners and repositories hold it: values that at least `EXAMPLE_OWNERS` owners share, and values of low variety, are
 widely copied examples; the rest are owner-specific and live-looking. The counts also add spans: a bare token that equals
-the value of a live-looking credential found elsewhere under a keyword is reported as `reuse`.
+the value of a live-looking credential found elsewhere under a keyword is reported as `reuse`. Such tokens have a letter, a
+digit and `LEAST_BARE` characters; they are runs of a value's characters and what '=' and '/' part in these.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +29,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 WORDS = ("pass", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "reuse")
 
-BARE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+BARE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")  # whole runs with a digit
+LEAST_BARE = 16
+SEGMENT = re.compile(r"[^=/]+")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 EXAMPLE_OWNERS = 3
 LEAST_VARIETY = 6
@@ -39,8 +43,8 @@ FOUND_SCHEMA = (
 
 
 def value_hash(value: str) -> int:
-    """64 signed bits of a value's digest; the values themselves never leave their document."""
-    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    """64 signed bits of a value's digest, full stops at its end aside; the values themselves never leave their document."""
+    return int.from_bytes(hashlib.blake2b(value.rstrip(".").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def find(text: str | None) -> list[tuple[int, int, int, str]]:
@@ -57,14 +61,30 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
         return [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     base += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[1], x[0]))
-    inside = [(a, b) for _, a, b, _ in base]
+    starts, ends = [], []  # what base spans cover, joined
+    for _, a, b, _ in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     bare = []
     for m in BARE.finditer(text):
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(a < m.end() and m.start() < b for a, b in inside):
-            bare.append((3, m.start(), m.end(), m[0]))
+        for a, b in _tokens(m[0], m.start()):
+            value, k = text[a:b], bisect_left(starts, b) - 1
+            if DIGIT.search(value) and LETTER.search(value) and not (k >= 0 and ends[k] > a):
+                bare.append((3, a, b, value))
     return base + bare
 
 
+def _tokens(run: str, at: int) -> list[tuple[int, int]]:
+    """(start, end) of a run that starts at `at`, of what follows its first '=', and of each part between '=' and '/'; no
+    full stops at the end, `LEAST_BARE` characters at least."""
+    cuts = [(0, len(run)), (run.find("=") + 1, len(run)), *(m.span() for m in SEGMENT.finditer(run))]
+    found = {(a, a + len(run[a:b].rstrip("."))) for a, b in cuts}
+    return sorted((at + a, at + b) for a, b in found if b - a >= LEAST_BARE)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):

@@ -163,6 +163,17 @@ def test_secrets_are_owned_or_examples(spark, docs, empty):
     assert secrets.scan(empty).count() == 0 and secrets.redact(docs).count() == docs.count()
 
 
+def test_reuse_beside_other_characters_is_found(spark):
+    key = "qwerty98765432ZX"
+    texts = [f"api_key={key}", f"log {key}", f"so {key}.", f"http://h.example/p?t={key}&u=1", f"see x/{key}/y", f"key {key}... end", "secret=trailing87654321.", "then trailing87654321, too", f"plain {key}5", f"id={key}/token=zyxw98765432"]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t), 0, 0, 0) for i, t in enumerate(texts)], DOCS)
+    rows = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert [rows[i]["n_reuse"] for i in range(len(texts))] == [0, 1, 1, 1, 1, 1, 0, 1, 0, 1]
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert masked[2] == "so [SECRET]." and masked[3] == "http://h.example/p?t=[SECRET]&u=1" and masked[4] == "see x/[SECRET]/y"
+    assert masked[5] == "key [SECRET]... end" and masked[8] == texts[8]
+
+
 def test_leaks_are_found_in_every_copy(spark, docs, empty):
     rng = random.Random(11)
     items = [(i, words(rng, 40)) for i in range(6)] + [(6, None), (7, "")]
