@@ -69,18 +69,52 @@ def row_key(id_col: str, text_hash: Column) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(ROW_KEY[0]), F.col(id_col).isNull().alias(ROW_KEY[1]), text_hash.alias(ROW_KEY[2])]
 
 
-def split_points(df: DataFrame, key: str, shards: int) -> np.ndarray:
-    """Ascending, distinct lower bounds of at most `shards` ranges of a long key (one bounded sketch on the driver)."""
+LOWEST = int(np.iinfo(np.int64).min)
+
+
+class Ranges:
+    """Ascending bounds of ranges of (key, tie), both long and null keys lowest: `count` of them. A key that fills several
+    ranges is cut by its ties; rows equal in both may lie in any range that ends or begins with them."""
+
+    def __init__(self, bounds: list[tuple[int, int]]):
+        bounds = sorted(bounds)
+        self.key = np.array([k for k, _ in bounds], dtype=np.int64)
+        self.tie = np.array([t for _, t in bounds], dtype=np.int64)
+        self.count = len(bounds) + 1
+        self.dealt = 0  # rows that could go to several ranges take turns
+
+    def of(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Range of each row."""
+        out = np.searchsorted(self.key, keys, side="right").astype(np.int32)
+        low = np.searchsorted(self.key, keys, side="left")
+        for i in np.flatnonzero(out > low):  # a bound has the row's key
+            a, b = int(low[i]), int(out[i])
+            first, last = a + np.searchsorted(self.tie[a:b], ties[i], side="left"), a + np.searchsorted(self.tie[a:b], ties[i], side="right")
+            if last - first > 1:
+                self.dealt += 1
+                last = first + 1 + self.dealt % (last - first)
+            out[i] = last
+        return out
+
+
+def ranges(df: DataFrame, key: str, tie: str, shards: int) -> Ranges:
+    """At most `shards` ranges of about equal numbers of rows. The driver gets one bounded sketch of the keys and, where a
+    key fills several ranges, one of the ties of such keys."""
     if shards < 2:
-        return np.array([], dtype=np.int64)
-    at = [i / shards for i in range(1, shards)]
-    row = df.agg(F.percentile_approx(key, at, 10_000).alias("q")).first()
-    return np.unique(np.array(row["q"] or [], dtype=np.int64))
-
-
-def shard_of(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Index of the range of each key."""
-    return np.searchsorted(points, keys, side="right").astype(np.int32)
+        return Ranges([])
+    quantiles = lambda column, at: F.percentile_approx(column, [float(x) for x in at], 10_000)
+    keys = df.select(F.coalesce(F.col(key), F.lit(LOWEST)).alias("k"), F.col(tie).alias("t"))
+    found = keys.agg(quantiles("k", np.arange(1, shards) / shards).alias("q")).first()["q"] or []
+    value, times = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+    bounds = [(int(v), LOWEST) for v in value]
+    hot = {int(v): int(n) for v, n in zip(value, times) if n > 1}
+    if hot:
+        most = max(hot.values())
+        cut = keys.where(F.col("k").isin(list(hot))).groupBy("k").agg(quantiles("t", np.arange(1, most + 1) / (most + 1)).alias("q"))
+        for r in cut.collect():  # fewer than `shards` rows
+            each = hot[r["k"]]
+            bounds += [(r["k"], int(r["q"][i * (most + 1) // each - 1])) for i in range(1, each)]
+    return Ranges(bounds)
 
 
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -102,4 +136,4 @@ def batch(ddl: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["ROW_KEY", "arrow", "batch", "crc32_of_id", "parts", "remove", "row_key", "save", "scratch", "shard_of", "shared_root", "ship", "split_points", "table"]
+__all__ = ["LOWEST", "ROW_KEY", "Ranges", "arrow", "batch", "crc32_of_id", "parts", "remove", "ranges", "row_key", "save", "scratch", "shared_root", "ship", "table"]

@@ -2,8 +2,9 @@
 
 Documents become token ids and are cut into pieces of at most `capacity` ids. The histogram of piece lengths, at most
 `capacity` numbers whatever the corpus, goes to the driver: patterns of a few lengths that nearly fill a sequence are
-enumerated, non-negative least squares fits how often each is used, the counts are rounded within what is there, and best
-fit over the remaining histogram places the residual. The plan maps (length, rank among the pieces of that length) to
+enumerated, non-negative least squares fits how often each is used, and the counts are rounded within what is there: whole
+parts first, then patterns with a part left, the fullest and then the largest part first. What remains is fitted again, a
+few rounds, and best fit over the last histogram places the residual. The plan maps (length, rank among the pieces of that length) to
 (sequence, offset) by runs; ranks come from counts of each scan partition, so no task sees all pieces of a length.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ from . import common
 from .tokens import encoder
 
 CAPACITY = 4096
-MOST_IN_PATTERN = 6
+MOST_IN_PATTERN = 8
 SECOND_CHOICES = 12
 ITERATIONS = 300
+ROUNDS = 6
+LEAST_PART = 1e-3  # parts of a count below this are taken for zero
 
 CHUNKS_SCHEMA = (
     "part int, lengths array<int>, counts array<long>, doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>, local array<long>"
@@ -93,6 +96,21 @@ class Plan:
     """Runs of placements: `key` = length * 2**44 + first rank; from there on, rank r goes to sequence + r - first."""
 
     def __init__(self, histogram: np.ndarray, capacity: int):
+        least = -(-int(np.arange(len(histogram)) @ histogram) // capacity)
+        best = None
+        for room in dict.fromkeys((min(capacity // 64, 64), min(capacity // 512, 8), 0)):  # what a pattern may leave empty
+            self._pack(histogram, capacity, room)
+            if best is None or self.sequences < best["sequences"]:
+                best = dict(vars(self))
+            if self.sequences <= least:
+                break
+        vars(self).update(best)
+        runs = np.array(self.runs, dtype=np.int64).reshape(-1, 4)
+        key = runs[:, 0] * _RANKS + runs[:, 1]
+        order = np.argsort(key, kind="stable")
+        self.key, self.first, self.sequence, self.offset = key[order], runs[order, 1], runs[order, 2], runs[order, 3]
+
+    def _pack(self, histogram: np.ndarray, capacity: int, room: int) -> None:
         left = histogram.astype(np.int64).copy()
         self.runs: list[tuple[int, int, int, int]] = []  # length, first rank, sequence, offset
         self.used = np.zeros(len(left), dtype=np.int64)
@@ -100,17 +118,28 @@ class Plan:
         self._place(capacity, int(left[capacity]), self.sequences, 0)
         self.sequences += int(left[capacity])
         left[capacity] = 0
+        self.fitted_tokens = 0  # what patterns place
+        for _ in range(ROUNDS):
+            placed = self._fit(left, capacity, room)
+            self.fitted_tokens += placed
+            if placed < capacity or placed * 20 < int(np.arange(len(left)) @ left):
+                break
+        self._best_fit(left, capacity)
+
+    def _fit(self, left: np.ndarray, capacity: int, room: int) -> int:
+        """Fit pattern counts to what is left, round and place them; the tokens placed."""
         patterns = enumerate_patterns(np.flatnonzero(left), capacity)
         fitted = fit_counts(patterns, left, capacity)
-        for k in np.argsort(-fitted, kind="stable"):
-            times = int(np.floor(fitted[k] + 0.5))
+        waste = capacity - np.array([sum(p) for p in patterns], dtype=np.int64)
+        near = waste <= room
+        whole = np.floor(fitted)
+        placed = 0
+        steps = [(k, int(whole[k])) for k in np.argsort(-whole, kind="stable") if near[k] and whole[k] >= 1]
+        steps += [(k, 1) for k in np.lexsort((whole - fitted, waste)) if near[k] and fitted[k] - whole[k] > LEAST_PART]
+        for k, times in steps:
+            need = Counter(patterns[k])
+            times = min(times, *(int(left[length]) // n for length, n in need.items()))
             if times < 1:
-                break
-            need = defaultdict(int)
-            for length in patterns[k]:
-                need[length] += 1
-            times = min([times, *(int(left[length]) // n for length, n in need.items())])
-            if times < 1 or capacity - sum(patterns[k]) > min(capacity // 64, 64):
                 continue
             at = 0
             for length in patterns[k]:
@@ -118,11 +147,8 @@ class Plan:
                 left[length] -= times
                 at += length
             self.sequences += times
-        self._best_fit(left, capacity)
-        runs = np.array(self.runs, dtype=np.int64).reshape(-1, 4)
-        key = runs[:, 0] * _RANKS + runs[:, 1]
-        order = np.argsort(key, kind="stable")
-        self.key, self.first, self.sequence, self.offset = key[order], runs[order, 1], runs[order, 2], runs[order, 3]
+            placed += at * times
+        return placed
 
     def _place(self, length: int, times: int, sequence: int, offset: int) -> None:
         if times:
@@ -168,9 +194,9 @@ class Plan:
         return self.sequence[at] + rank - self.first[at], self.offset[at]
 
 
-def _cut(path: str, end_id: int, capacity: int):
+def _cut(path: str, special: bool, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, special)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
@@ -204,15 +230,16 @@ def _assign(plan: Plan):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece of the end id alone. Repeated rows are packed as often as they occur. An empty
-    table gives no rows. Pieces of equal length are interchangeable; which goes where follows the scan's order.
+    table gives no rows. `special`: the strings of special tokens in a text become those tokens, as the library does by
+    default. Pieces of equal length are interchangeable; which goes where follows the scan's order.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks, _ = common.save(rows.mapInArrow(_cut(tokenizer_path, end_id, capacity), CHUNKS_SCHEMA), "pieces")
+    chunks, _ = common.save(rows.mapInArrow(_cut(tokenizer_path, special, end_id, capacity), CHUNKS_SCHEMA), "pieces")
     counted = chunks.where(F.size("lengths") > 0).select("part", F.explode(F.arrays_zip("lengths", "counts")).alias("c")).select("part", F.col("c.lengths").alias("length"), F.col("c.counts").alias("n"))
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows

@@ -159,9 +159,9 @@ def _expand(raw: bytes) -> bytes:
     return _zstd()[1].decompress(raw)
 
 
-def _tokenise(path: str, end_id: int, points: np.ndarray):
+def _tokenise(path: str, special: bool, end_id: int, ranges: common.Ranges):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, special)
         counts = np.zeros(max(enc.size, end_id + 1), dtype=np.int64)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
@@ -169,7 +169,7 @@ def _tokenise(path: str, end_id: int, points: np.ndarray):
             for lo in range(0, batch.num_rows, 500):
                 part = texts.slice(lo, 500).to_pylist()
                 keys = ids.slice(lo, 500)
-                shard = common.shard_of(keys.fill_null(np.iinfo(np.int64).min).to_numpy(), points)
+                shard = ranges.of(keys.fill_null(common.LOWEST).to_numpy(), ties.slice(lo, 500).to_numpy())
                 raws = [enc.raw(t) + end for t in part]
                 counts += np.bincount(np.frombuffer(b"".join(raws), dtype=enc.dtype), minlength=len(counts))
                 n = [len(r) // enc.dtype.itemsize for r in raws]
@@ -248,21 +248,22 @@ def _table_of(frequencies: DataFrame) -> FrequencyTable:
 
 
 def write_corpus(
-    docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, shards: int | None = None
+    docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, shards: int | None = None, special: bool = True
 ) -> None:
     """Tokenise every row's whole text (null: empty), append `end_id`, and write `out`/frequencies and `out`/blocks in
     ascending order of the id (null ids first; equal ids by a hash of the text, then as they come).
 
-    Rows are repeated as often as they occur. An empty table gives empty files. Each range of ids is one task; its
-    bounds come from a sketch of the ids alone. A document is never split between blocks, so a block has at least
+    Rows are repeated as often as they occur. An empty table gives empty files. `special`: the strings of special tokens in
+    a text become those tokens, as the library does by default. Each range of ids is one task; its bounds come from a sketch
+    of the ids, and an id that many rows share is cut by the hash of the text, rows of one id and text by turns. A document is never split between blocks, so a block has at least
     `block_ids` ids and at most that many more than the longest document.
     """
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    points = common.split_points(rows, "doc_id", shards or common.parts(spark))
-    enc = encoder(tokenizer_path)
-    tokens, path = common.save(rows.mapInArrow(_tokenise(tokenizer_path, end_id, points), TOKENS_SCHEMA), "tokens", "none")
+    ranges = common.ranges(rows, "doc_id", "tie", shards or common.parts(spark))
+    enc = encoder(tokenizer_path, special)
+    tokens, path = common.save(rows.mapInArrow(_tokenise(tokenizer_path, special, end_id, ranges), TOKENS_SCHEMA), "tokens", "none")
     counted = tokens.where("kind = 1").select("ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").collect()
     token, n = np.array([r["token"] for r in counted], dtype=np.int64), np.array([r["n"] for r in counted], dtype=np.float64)
     frequency = FrequencyTable.scale(n)
@@ -275,7 +276,7 @@ def write_corpus(
     table = FrequencyTable(token, frequency)
     (
         tokens.where("kind = 0")
-        .repartitionById(len(points) + 1, F.col("shard"))
+        .repartitionById(ranges.count, F.col("shard"))
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
         .select("shard", "doc_id", "ids")
         .mapInArrow(_blocks(enc.dtype.itemsize, table, base, block_ids), BLOCKS_SCHEMA)

@@ -29,18 +29,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class SegmentEncoder:
-    """ids(text): the token ids of a whole text as an array; `limit` bounds each of the two generations of the cache."""
+    """ids(text): the token ids of a whole text as an array. With `special`, the strings of special tokens in a text become
+    those tokens, as the library does by default; without, they are ordinary text. `limit` bounds each of the two
+    generations of the cache."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, special: bool = False, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = not special
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         spec = json.loads(self.tok.to_str())
-        self.mode = self._mode(spec)
+        added = [t for t in self.tok.get_added_tokens_decoder().values() if special or not t.special]
+        self.added = [t.content for t in added]  # a text that holds one is encoded whole
+        self.mode = "whole" if any(t.normalized for t in added) else self._mode(spec)
         self.limit = limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -109,7 +113,7 @@ class SegmentEncoder:
         """The ids as little-endian bytes of `dtype`."""
         if not text:
             return b""
-        if self.mode == "whole" or (self.mode == "spaced" and _AFTER_SPACE.search(text)):
+        if self.mode == "whole" or any(x in text for x in self.added) or (self.mode == "spaced" and _AFTER_SPACE.search(text)):
             return self._whole(text)
         segments = text.split(" ")
         head = b""
@@ -132,6 +136,6 @@ class SegmentEncoder:
 
 
 @lru_cache(4)
-def encoder(path: str) -> SegmentEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    return SegmentEncoder(path)
+def encoder(path: str, special: bool = False) -> SegmentEncoder:
+    """One encoder for each worker process, vocabulary file and treatment of special tokens."""
+    return SegmentEncoder(path, special)
