@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the sample that the model is fitted on: documents of each label, and characters of each of them.
+#: Bound of the sample that the model is fitted on: so many whole documents of each label.
 DOCS_OF_LABEL = 600
-SAMPLE_CHARS = 20_000
 ITERATIONS = 60
 L2 = 1e-2
 KEEP = 0.7
@@ -257,8 +256,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_of_label: int = DOCS_OF_LABEL) -> Model:
-    """Fit on at most `docs_of_label` labelled documents of each label, the first by a hash of their id, and of each the
-    first SAMPLE_CHARS characters. Null labels and unlabelled documents are ignored; of repeated ids one row is used."""
+    """Fit on at most `docs_of_label` labelled documents of each label, the first by a hash of their id, whole.
+    Null labels and unlabelled documents are ignored; of repeated ids one row is used."""
     spark = docs.sparkSession
     common.ship(spark)
     labelled = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
@@ -269,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for k in (0, 1):
         part = labelled.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(2 * docs_of_label)  # some have no text here
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(11), "id"), "id", "text"))
     rows = texts.withColumn("k", rank).where(F.col("k") <= docs_of_label).select("label", "text").mapInArrow(_sampled, SAMPLE_SCHEMA).collect()
     sample = [(r["label"], np.frombuffer(r["lines"], dtype=np.float32).reshape(-1, OWN), np.array(r["lengths"])) for r in rows]
