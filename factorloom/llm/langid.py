@@ -17,44 +17,37 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of what the classifier is fitted on: characters of dictionary for each language, and of each text.
-DICTIONARY_CHARS = 98_304
-CHARS_OF_TEXT = 2_048
+#: Bound of what the classifier is fitted on: so many whole texts of each language.
+TEXTS_OF_LANGUAGE = 128
 #: The model has a dictionary a language; more values than this are refused.
-MOST_LANGUAGES = 10_000
+MOST_LANGUAGES = 1_000
 LEVEL = 5
 WINDOW = 4_096
 NARROW = 0.02
 
-LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 PREDICTED_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tie_col: str = "doc_id", chars: int = DICTIONARY_CHARS, of_text: int = CHARS_OF_TEXT) -> dict[str, bytes]:
-    """Dictionary content of each language, the most frequent first: the starts of its texts in the order of a hash, until
-    `chars` characters.
-
-    The sample is bounded for each language: rows are first cut down by hash, so that a window sorts few of them."""
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tie_col: str = "doc_id", texts: int = TEXTS_OF_LANGUAGE) -> dict[str, bytes]:
+    """Dictionary content of each language, the most frequent first: the letters of `texts` whole texts, those with the least
+    hashes. Rows are first cut down by hash, so that a window sorts few of each language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).alias("lang"), F.substring(text_col, 1, of_text).alias("text"), F.xxhash64(F.lit(7), tie_col, text_col).alias("h")
+        F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), tie_col, text_col).alias("h"), F.col(text_col).alias("text")
     )
-    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))
-    known = sums.limit(MOST_LANGUAGES + 1).collect()
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(known) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang_col} a language?")
-    sums = rows.sparkSession.createDataFrame([(r["lang"], r["n"], r["c"]) for r in known], "lang string, n long, c long")
-    # about four times the texts that the dictionary takes; a language with fewer keeps all
-    share = F.least(F.lit(1.0), F.lit(4.0 * chars) / F.col("c") + F.lit(40.0) / F.col("n"))
-    cut = rows.join(F.broadcast(sums), "lang").where((F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
-    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
-    kept = cut.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars)
-    texts: dict[str, list[str]] = {}
-    for r in kept.select("lang", "h", "text").orderBy("lang", F.desc("h"), "text").collect():  # bounded by languages * (chars + of_text)
-        texts.setdefault(r["lang"], []).append(r["text"])
-    share_of = {r["lang"]: r["n"] for r in known}
-    order = sorted(texts, key=lambda k: (-share_of.get(k, 0), k))
-    return {k: " ".join(map(letters_of, texts[k])).encode("utf-8", "surrogatepass") for k in order}
+    count = {r["lang"]: r["n"] for r in known}
+    sizes = rows.sparkSession.createDataFrame(list(count.items()), "lang string, n long")
+    share = F.lit(4.0 * texts + 40) / F.col("n")  # about four times the texts that the dictionary takes; a rare language keeps all
+    cut = rows.join(F.broadcast(sizes), "lang").where((F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    found: dict[str, list[str]] = {}
+    for r in cut.withColumn("k", rank).where(F.col("k") <= texts).orderBy("lang", F.desc("k")).collect():  # languages * texts rows
+        found.setdefault(r["lang"], []).append(r["text"])
+    order = sorted(found, key=lambda k: (-count[k], k))
+    return {k: " ".join(map(letters_of, found[k])).encode("utf-8", "surrogatepass") for k in order}
 
 
 def letters_of(text: str) -> str:
@@ -81,7 +74,7 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): margin is how much smaller the best is than the next, as a share of the next; score
         is 1/2 at a margin of 0 and nears 1. Without a letter, a text or a language: ('und', 0, 0)."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         ranked = sorted(zip(self.sizes(text), range(len(self.langs)), self.langs))
         if len(ranked) == 1:
