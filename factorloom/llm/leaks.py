@@ -26,7 +26,7 @@ LEAK = 0.45
 #: Test items are handled in blocks of at most so many characters; each block is what one pass broadcasts.
 BLOCK_CHARS = 8_000_000
 
-LEAK_SCHEMA = "doc_id long, item_id long, score double, identity double, start long, end long"
+LEAK_SCHEMA = "doc_id long, item_id long, score double, identity double, start long, end long, n_places long"
 _WORD = re.compile(r"\w+")
 
 
@@ -93,24 +93,26 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def leaks_of(words: np.ndarray, items: Items, leak: float = LEAK) -> list[tuple[int, float, float, int, int]]:
-    """(item id, score, identity, start, end) of each item that a document leaks: its best alignment."""
+def leaks_of(words: np.ndarray, items: Items, leak: float = LEAK) -> list[tuple[int, float, float, int, int, int]]:
+    """(item id, score, identity, start, end, places) of each item that a document leaks: its best alignment, and in how many
+    places apart the document holds it."""
     owner, origin = items.seeds(words)
     found = []
     for k in np.unique(owner):
         item_id, item = items.rows[k]
         at = np.sort(origin[owner == k])
-        best = None
+        best, places = None, 0
         for group in np.split(at, np.flatnonzero(np.diff(at) > len(item)) + 1):
             lo, hi = max(0, int(group[0]) - len(item) // 2 - 2), min(len(words), int(group[-1]) + len(item) + len(item) // 2 + 2)
             if np.isin(item, words[lo:hi]).mean() < leak:  # a score is at most MATCH for each word of the item that is there
                 continue
             score, start, end = align(item, words[lo:hi])
             share = score / (MATCH * len(item))
+            places += share >= leak
             if best is None or share > best[1]:
                 best = (item_id, share, float(np.isin(item, words[lo + start : lo + end]).mean()) if score else 0.0, lo + start, lo + end)
         if best and best[1] >= leak:
-            found.append(best)
+            found.append((*best, places))
     return found
 
 
@@ -139,7 +141,8 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", leak: float = LEAK) -> DataFrame:
     """One row for each document and item that it leaks: doc_id, item_id, score (share of the item's own score, 0 to 1),
-    identity (share of the item's words found in the aligned part), start, end (words of the document, end exclusive).
+    identity (share of the item's words found in the aligned part), start, end (words of the document, end exclusive) of the
+    best alignment, n_places (how many places, more than an item's length apart, hold it).
 
     Null, empty and wordless texts and items leak nothing; items with fewer words than a seed are one seed as a whole, and
     only a text of just these words holds it. Repeated documents give repeated rows; repeated items count once. Two equal
