@@ -147,12 +147,12 @@ def exact_intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.nd
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     r, c = np.searchsorted(used, rows), np.searchsorted(used, columns)
-    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    out = np.zeros((len(rows), len(columns)), dtype=np.int64)
     for first in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(column, [first, first + 4096])
         m = np.zeros((len(used), 4096), dtype=np.float32)
         m[owner[a:b], column[a:b] - first] = 1
-        out += m[r] @ m[c].T
+        out += (m[r] @ m[c].T).astype(np.int64)  # at most 4096, so exact
     return out
 
 
@@ -176,7 +176,7 @@ def forest(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, same:
     if not keep_l.any():
         return []
     left, right, near = left[keep_l], right[keep_r], near[np.ix_(keep_l, keep_r)]
-    common_part = exact_intersections(sets, left, right).astype(np.int64)
+    common_part = exact_intersections(sets, left, right)
     union = size[left][:, None] + size[right][None, :] - common_part
     linked = near & (denominator * common_part >= numerator * union)
     tree, found = _Sets(n), []
@@ -188,7 +188,7 @@ def forest(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, same:
 
 def _link(width: int, numerator: int, denominator: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node").drop_duplicates("node")
+        group = group.sort_values("node")
         same = bool((group["i"] == group["j"]).iloc[0])
         sets = [hashing.shingles(t, width) for t in group["text"]]
         sketches = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint64).reshape(len(group), -1)
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     sizes = clusters.join(classes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     members = members.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = members.join(rows, [members.doc_id.eqNullSafe(rows.doc_id), members.text_hash == rows.text_hash]).select("root", "node", "sketch", "blocks", "block", "text")
+    texts = members.join(rows, [members.doc_id.eqNullSafe(rows.doc_id), members.text_hash == rows.text_hash]).select("root", "node", "sketch", "blocks", "block", "text").dropDuplicates(["node"])  # rows of one id and text may be many
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "sketch", "text"
     )
