@@ -57,8 +57,6 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
         base += [(0, m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
         base += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    if not DIGIT.search(text) and not base and "a" <= low:
-        return [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     base += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[1], x[0]))
     starts, ends = [], []  # what base spans cover, joined
