@@ -35,13 +35,13 @@ def formulas(longest: int) -> dict[str, str]:
 
 def candidates(spark):
     """Values of 40 formulas over the weekly panel."""
-    return compiler.evaluate(dense(spark, SF, "supp_week"), formulas(20))
+    return compiler.evaluate(dense(spark, SF, "supp_week"), formulas(20), engine="blocks")
 
 
 def coefficients(spark):
     """Rank and Pearson coefficients and long-short spreads of 40 formulas over the weekly panel."""
     panel = dense(spark, SF, "supp_week").withColumn("y", compiler.label(F.col("close"), 5))
-    wide = compiler.evaluate(panel, formulas(20), ("instrument", "dt", "y")).where("y is not null")
+    wide = compiler.evaluate(panel, formulas(20), ("instrument", "dt", "y"), engine="blocks").where("y is not null")
     return xs.evaluate(xs.melt(wide, list(formulas(20)), ("instrument", "dt", "y")))
 
 

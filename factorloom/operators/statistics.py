@@ -61,17 +61,38 @@ def deflated_probability(n: int, mean: float, sd: float, skew: float, kurt: floa
     return NORMAL.cdf((sr - expected_maximum(trials, variance)) * math.sqrt(n - 1) / spread)
 
 
-def deflated_sharpe(returns: DataFrame, trials: int | None = None) -> DataFrame:
-    """strategy, n, sharpe, hurdle, dsr for each strategy; trials default to the number of strategies and the variance is
-    the population variance of their Sharpe ratios. One row a strategy reaches the driver."""
-    rows = moments(returns).collect()
-    ratios = [r["mean"] / r["sd"] for r in rows if r["sd"]]
-    variance = float(np.var(ratios)) if ratios else 0.0
-    n = trials or len(rows)
-    out = [
-        (r["strategy"], r["n"], r["mean"] / r["sd"] if r["sd"] else None, expected_maximum(n, variance), deflated_probability(r["n"], r["mean"], r["sd"] or 0, r["skew"] or 0, r["kurt"] or 3, n, variance)) for r in rows
-    ]
-    return returns.sparkSession.createDataFrame(out, "strategy string, n long, sharpe double, hurdle double, dsr double")
+def expected_maximum_column(trials: Column, variance: Column) -> Column:
+    from ..functions.scalars import normal_quantile
+
+    n = F.greatest(trials, F.lit(2)).cast("double")
+    return F.sqrt(F.greatest(variance, F.lit(1e-12))) * ((1 - EULER) * normal_quantile(1 - 1 / n) + EULER * normal_quantile(1 - 1 / (n * math.e)))
+
+
+def deflated(moment: DataFrame, trials: Column, variance: Column) -> DataFrame:
+    """`moment` (n, mean, sd, skew, kurt as moments() has them) with sharpe, hurdle and dsr added."""
+    from ..functions.scalars import normal_cdf
+
+    some = F.col("sd") > 0
+    ratio = F.try_divide("mean", F.when(some, F.col("sd")))
+    sr, skew, kurt = F.col("sharpe"), F.coalesce("skew", F.lit(0.0)), F.coalesce("kurt", F.lit(3.0))
+    spread = F.sqrt(F.greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, F.lit(1e-12)))
+    out = moment.withColumn("sharpe", ratio).withColumn("hurdle", expected_maximum_column(trials, variance))
+    return out.withColumn("dsr", F.when((F.col("n") >= 20) & some, normal_cdf((sr - F.col("hurdle")) * F.sqrt(F.col("n") - 1.0) / spread)).otherwise(0.0))
+
+
+def deflated_sharpe(returns: DataFrame, trials: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """strategy, n, sharpe, hurdle, dsr for each strategy; trials default to the number of strategies (of each value of
+    `by`, columns that strategies carry) and the variance is the population variance of their Sharpe ratios. Nothing reaches
+    the driver; the counts and variances, a row for each value of `by`, are joined back."""
+    keys = [*by, "strategy"]
+    x = F.col("ret")
+    flat = F.min(x) == F.max(x)
+    every = returns.where("ret is not null").groupBy(*keys).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.when(~flat, F.skewness(x)).alias("skew"), F.when(~flat, F.kurtosis(x) + 3).alias("kurt")
+    )
+    whole = every.groupBy(*by).agg(F.count("*").alias("__trials"), F.coalesce(F.var_pop(F.try_divide("mean", F.when(F.col("sd") > 0, F.col("sd")))), F.lit(0.0)).alias("__variance"))
+    joined = every.join(whole, list(by)) if by else every.join(F.broadcast(whole))  # one row
+    return deflated(joined, F.lit(trials) if trials else F.col("__trials"), F.col("__variance")).select(*keys, "n", "sharpe", "hurdle", "dsr")
 
 
 def hurdle_sharpe(trials: int, variance: float, n: int, target: float = 0.95, periods: int = 52) -> float:
@@ -182,6 +203,16 @@ def effective_trials(returns: DataFrame, raw: int | None = None) -> dict:
     return {"n_raw": raw or n, "n_eff_eigenvalue": round(participation(m), 1), "n_eff_avg_corr": round(n / (1 + (n - 1) * rho), 1), "mean_abs_corr": round(rho, 3)}
 
 
+def average_correlation(returns: DataFrame, least: int = 30) -> DataFrame:
+    """n_raw, mean_abs_corr, n_eff_avg_corr of strategies that share periods, as one row: n / (1 + (n - 1) * rho)."""
+    pairs = pair_correlations(returns, least)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("k")).agg(F.countDistinct("k").alias("n_raw"))
+    total = pairs.agg(F.sum(F.abs(F.coalesce("corr", F.lit(0.0)))).alias("s"))
+    n = F.col("n_raw")
+    rho = F.col("s") / (n * (n - 1) / 2)
+    return names.join(F.broadcast(total)).select("n_raw", rho.alias("mean_abs_corr"), (n / (1 + (n - 1) * rho)).alias("n_eff_avg_corr"))
+
+
 def market_neutral(returns: DataFrame) -> DataFrame:
     """Returns minus the mean of their period."""
     return returns.withColumn("ret", F.col("ret") - F.avg("ret").over(Window.partitionBy("t")))
@@ -305,6 +336,27 @@ def lag_decay(values: DataFrame, lags: tuple[int, ...] = (0, 1, 2, 3, 5)) -> Dat
     return out.select(F.substring_index("factor", "@", 1).alias("factor"), F.substring_index("factor", "@", -1).cast("int").alias("lag"), "ic")
 
 
+def decay_shape(curve: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """by, base, per_step, half_life, worst, race of a measured curve: its value at the least x, what each further step costs
+    up to the greatest, the least x at which half of a positive base is gone, the x of the least value (the first of equal
+    ones), and whether half is gone within one step. Curves with fewer than two values are left out."""
+    ok = curve.where(F.col(y).isNotNull() & ~F.isnan(y))
+    ends = ok.groupBy(*by).agg(F.count("*").alias("__n"), F.min_by(y, x).alias("base"), F.max_by(y, x).alias("__last"), F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.min(F.struct(F.col(y).alias("y"), F.col(x).alias("x"))).alias("__worst")).where("__n >= 2")
+    half = ok.join(ends.select(*by, "base"), by).where((F.col("base") > 0) & (F.col(y) <= F.col("base") / 2)).groupBy(*by).agg(F.min(x).alias("half_life"))
+    steps = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1))
+    return ends.join(half, by, "left").select(*by, "base", ((F.col("base") - F.col("__last")) / steps).alias("per_step"), "half_life", F.col("__worst.x").alias("worst"), F.coalesce(F.col("half_life") <= 1, F.lit(False)).alias("race"))
+
+
+def cost_verdict(curve: DataFrame, by: list[str], multiple: str = "multiple", value: str = "value") -> DataFrame:
+    """by, at_cost, breaks_at, free_uplift, survives_3x of results at multiples of the assumed costs: the value at 1 (or else
+    at the least multiple), the least multiple from 1 on at which nothing is left, what costs take away, and whether
+    something is left at 3."""
+    ok = curve.where(F.col(value).isNotNull() & ~F.isnan(value))
+    at = lambda m: F.max(F.when(F.col(multiple) == m, F.col(value)))
+    base = F.coalesce(at(1.0), F.min_by(value, multiple))
+    return ok.groupBy(*by).agg(base.alias("at_cost"), F.min(F.when((F.col(multiple) >= 1) & (F.col(value) <= 0), F.col(multiple))).alias("breaks_at"), (at(0.0) - base).alias("free_uplift"), F.coalesce(at(3.0) > 0, F.lit(False)).alias("survives_3x"))
+
+
 def evaluate_series(signals: DataFrame, periods: float = 252.0, lags: int = 5) -> DataFrame:
     """One row a single-instrument signal (strategy, t, signal, fwd): n, spearman, pearson, hit rate, mean and Newey-West t
     of a capped z-position's return, Sharpe ratio, and buy and hold. Signals of fewer than 30 rows are left out."""

@@ -270,17 +270,14 @@ class Batch:
         return df.select(*keep, *[finite(self.expression(root)).alias(name) for name, root in self.roots.items()])
 
 
-#: Batches with more rolling operators than this are evaluated by blocks.
-COLUMN_OPERATORS = 6
-
-
-def evaluate(panel: DataFrame, formulas: Mapping[str, str] | str, keep: tuple[str, ...] = ("instrument", "dt"), centred: bool = False, engine: str | None = None) -> DataFrame:
+def evaluate(panel: DataFrame, formulas: Mapping[str, str] | str, keep: tuple[str, ...] = ("instrument", "dt"), centred: bool = False, engine: str = "columns") -> DataFrame:
     """Values of formulas over a dense panel (instrument, dt, pos and the fields).
 
-    `engine` is "columns" (window expressions) or "blocks" (one history at a time, see vector.py); by default small batches
-    are columns. Centred frames exist as columns only."""
+    `engine` is "columns" (window expressions, whatever the batch) or "blocks" (one history at a time, see vector.py, which
+    large batches are faster in). Both give the same values; centred frames exist as columns only."""
+    if engine not in ("columns", "blocks") or (centred and engine == "blocks"):
+        raise ValueError(f"no engine {engine} for these frames")
     batch = Batch({"value": formulas} if isinstance(formulas, str) else formulas, centred)
-    engine = engine or ("columns" if centred or sum(map(len, batch.levels.values())) <= COLUMN_OPERATORS else "blocks")
     if engine == "columns":
         return batch.apply(panel, keep)
     from . import vector

@@ -13,17 +13,41 @@ from . import compiler
 from . import formula as fm
 
 
-def hierarchy(values: DataFrame, families: DataFrame) -> DataFrame:
-    """strategy, n, sharpe, hurdle, dsr of each family's composite, tested against the number of families and not of
-    formulas. values: (factor, dt, instrument, value, y); families: (factor, family, sign)."""
-    scores = xs.family_composites(values, families)
-    y = values.select("dt", "instrument", "y").distinct()
-    long = scores.join(y, ["dt", "instrument"]).select(F.col("family").alias("factor"), "dt", "instrument", F.col("score").alias("value"), "y")
-    ls = xs.evaluate(long).select(F.col("factor").alias("strategy"), F.col("dt").alias("t"), F.col("ls").alias("ret"))
-    return st.deflated_sharpe(ls)
+def hierarchy(values: DataFrame, families: DataFrame, discovery_end: str, step: int = 5, least_t: float = 3.0, least_dsr: float = 0.95, periods: float = 52.0) -> tuple[DataFrame, DataFrame]:
+    """Families first, then factors inside those that pass. values: (factor, dt, instrument, value, y); families: (factor,
+    family, sign).
+
+    First: family, members, n_dates, ic_mean, ic_t, ls_sharpe, dsr, later_ic, passes of each family's composite, deflated
+    against the number of families. Second: family, factor, ls_sharpe, dsr_family, dsr_flat, rank of every member of the
+    families that pass, deflated against its family and against all formulas. Coefficients and spreads up to
+    `discovery_end` decide, spreads and t at every step-th date; later ones are reported."""
+    early = F.col("dt") <= F.lit(discovery_end).cast("date")
+    spaced = early & (F.col("__k") % step == 0)
+    place = F.row_number().over(compiler.Window.partitionBy("factor").orderBy("dt")) - 1
 
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.where(spaced).select(F.col("factor").alias("strategy"), F.col("ls").alias("ret"))
 
-def revalidate(ic: DataFrame, library: list[rec.Member], day: str, after: str, last: int = 250, min_t: float = 0.0, promote_t: float = 2.0) -> list[rec.Member]:
+    y = values.select("dt", "instrument", "y").distinct()
+    scores = xs.family_composites(values, families).join(y, ["dt", "instrument"])
+    composites = xs.evaluate(scores.select(F.col("family").alias("factor"), "dt", "instrument", F.col("score").alias("value"), "y")).withColumn("__k", place)
+    size = families.groupBy("family").agg(F.count("*").alias("members"))
+    ic = composites.groupBy(F.col("factor").alias("family")).agg(
+        F.count_if(early).alias("n_dates"), F.avg(F.when(early, F.col("rank_ic"))).alias("ic_mean"), st.tstat(F.when(spaced, F.col("rank_ic"))).alias("ic_t"), F.avg(F.when(~early, F.col("rank_ic"))).alias("later_ic")
+    )
+    deflated = st.deflated_sharpe(spread(composites)).select(F.col("strategy").alias("family"), (F.col("sharpe") * periods**0.5).alias("ls_sharpe"), "dsr")
+    first = ic.join(deflated, "family").join(size, "family").withColumn("passes", F.coalesce((F.col("ic_t") >= least_t) & (F.col("dsr") >= least_dsr), F.lit(False)))
+    first = first.select("family", "members", "n_dates", "ic_mean", "ic_t", "ls_sharpe", "dsr", "later_ic", "passes")
+    signed = xs.evaluate(values).withColumn("__k", place).join(F.broadcast(families), "factor").withColumn("ls", F.col("ls") * F.col("sign"))
+    alone = signed.where(spaced).select("family", F.col("factor").alias("strategy"), F.col("ls").alias("ret"))
+    within = st.deflated_sharpe(alone, by=("family",)).withColumnRenamed("dsr", "dsr_family")
+    flat = st.deflated_sharpe(alone.drop("family")).select("strategy", F.col("dsr").alias("dsr_flat"))
+    best = F.row_number().over(compiler.Window.partitionBy("family").orderBy(F.desc("dsr_family"), "factor"))
+    second = within.join(flat, "strategy").join(first.where("passes").select("family"), "family").select("family", F.col("strategy").alias("factor"), (F.col("sharpe") * periods**0.5).alias("ls_sharpe"), "dsr_family", "dsr_flat")
+    return first, second.withColumn("rank", best)
+
+
+def revalidate(ic: DataFrame, library: list[rec.Member], day: str, after: str, last: int = 250, min_t: float = 1.0, promote_t: float = 2.0) -> list[rec.Member]:
     """Recheck members on the coefficients (factor, dt, ic) after a date, the last 250 rows of each; a second call for a day
     that a member has in its history changes nothing."""
     recent = ic.where((F.col("dt") > F.lit(after).cast("date")) & F.col("ic").isNotNull())
@@ -31,7 +55,7 @@ def revalidate(ic: DataFrame, library: list[rec.Member], day: str, after: str, l
     t = {r["factor"]: r for r in recent.withColumn("k", k).where(F.col("k") <= last).groupBy("factor").agg(F.count("*").alias("n"), st.tstat(F.col("ic")).alias("t")).collect()}
     for m in library:
         if m.name in t and not any(h["date"] == day for h in m.history):
-            m.recheck(t[m.name]["t"], t[m.name]["n"], day, min_t, promote_t)
+            m.recheck(t[m.name]["t"], t[m.name]["n"], day, min_t, promote_t, short="strike")
     return library
 
 

@@ -1,7 +1,7 @@
 """The same formulas evaluated a block at a time: one group an instrument, all windows of an operator in one numpy call.
 
 Spark recomputes a bounded frame for every row and function, which for a large batch costs far more than the data; here a
-history, as long as the calendar, is one block. Results equal those of the column plan; `compiler.evaluate` chooses.
+history, as long as the calendar, is one block. Results equal those of the column plan; the caller of `compiler.evaluate` chooses.
 """
 
 from __future__ import annotations

@@ -45,3 +45,39 @@ def dense_sql(panel: str) -> str:
 
 def dense(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
     return panels.densify(getattr(panels, panel)(spark, sf_dir))
+
+
+def sql_normal_cdf(x: str) -> str:
+    """The standard normal distribution function by Simpson's rule over [0, x], |x| up to 9."""
+    return (
+        f"(0.5 + greatest(least({x}, 9), -9) * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+        f"* exp(-pow(greatest(least({x}, 9), -9) * i / 1000.0, 2) / 2))) / 3000 / sqrt(2 * pi()))"
+    )
+
+
+def sql_normal_quantile(p: str) -> str:
+    """Its inverse for p of at least one half: a rational approximation, relative error about 1e-9."""
+    from ..functions.scalars import _LOW, _MIDDLE, _OUTER
+
+    def poly(x: str, c: tuple[float, ...]) -> str:
+        out = repr(c[0])
+        for k in c[1:]:
+            out = f"({out} * {x} + {k!r})"
+        return out
+
+    r, t = f"pow({p} - 0.5, 2)", f"sqrt(-2 * ln(1 - ({p})))"
+    return f"CASE WHEN {p} <= {1 - _LOW!r} THEN ({p} - 0.5) * {poly(r, _MIDDLE[0])} / {poly(r, _MIDDLE[1])} ELSE -{poly(t, _OUTER[0])} / {poly(t, _OUTER[1])} END"
+
+
+def sql_deflated(source: str, by: str = "") -> str:
+    """CTEs m (strategy moments of `source`: [by, ]strategy, ret), g (trials and variance) and ds (n, sharpe, hurdle, dsr)."""
+    on = f"USING ({by})" if by else "ON true"
+    each = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    top = f"sqrt(greatest(var, 1e-12)) * ((1 - 0.5772156649) * ({sql_normal_quantile('(1 - 1 / greatest(trials, 2)::DOUBLE)')}) + 0.5772156649 * ({sql_normal_quantile('(1 - 1 / (greatest(trials, 2) * exp(1::DOUBLE)))')}))"
+    return f"""dev AS (SELECT *, ret - avg(ret) OVER (PARTITION BY {each}strategy) AS e FROM {source} WHERE ret IS NOT NULL),
+m AS (SELECT {each}strategy, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(e*e*e) / nullif(pow(avg(e*e), 1.5), 0) AS skew, avg(e*e*e*e) / nullif(pow(avg(e*e), 2), 0) AS kurt FROM dev GROUP BY {each}strategy),
+g AS (SELECT {each}count(*) AS trials, coalesce(var_pop(mean / nullif(sd, 0)), 0) AS var FROM m{group}),
+hu AS (SELECT m.*, mean / nullif(sd, 0) AS sharpe, {top} AS hurdle FROM m JOIN g {on}),
+zs AS (SELECT *, (sharpe - hurdle) * sqrt(n - 1) / sqrt(greatest(1 - coalesce(skew, 0) * sharpe + (coalesce(kurt, 3) - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM hu),
+ds AS (SELECT {each}strategy, n, sharpe, hurdle, CASE WHEN n >= 20 AND sd > 0 THEN {sql_normal_cdf('z')} ELSE 0 END AS dsr FROM zs)"""

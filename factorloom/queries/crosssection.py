@@ -57,7 +57,8 @@ def xs_rank_pct(spark, sf_dir):
     return values(spark, sf_dir).where("value is not null").select("factor", "dt", "instrument", rounded(xs.percent_rank("value", ["factor", "dt"]), 6).alias("pct"))
 
 
-_CENTRED = f"SELECT v.factor, v.dt, v.instrument, coalesce(z.p - 0.5, 0) AS r FROM v LEFT JOIN (SELECT factor, dt, instrument, {_PCT.format(by='factor, dt', x='value')} AS p FROM v WHERE value IS NOT NULL) z ON z.factor = v.factor AND z.dt = v.dt AND z.instrument = v.instrument"
+#: NULLs are a partition of their own, so ranks among the values need no join.
+_CENTRED = "SELECT factor, dt, instrument, CASE WHEN value IS NULL THEN 0 ELSE (rank() OVER p + (count(*) OVER (PARTITION BY factor, dt, value) - 1) / 2.0::DOUBLE) / count(value) OVER (PARTITION BY factor, dt) - 0.5 END AS r FROM v WINDOW p AS (PARTITION BY factor, dt, value IS NULL ORDER BY value)"
 
 
 @query("xs_rank_centred", f"{_FACTOR_SQL}, c AS ({_CENTRED}) SELECT factor, dt, instrument, {sql_round('r', 6)} AS r FROM c")

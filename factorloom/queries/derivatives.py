@@ -78,15 +78,46 @@ def roll_continuous_back(spark, sf_dir):
     return dv.continuous(*_schedule(spark, sf_dir), "back").withColumn("price", rounded(F.col("price"), 3))
 
 
-@query("roll_invariant")
+_CHAINED = "SELECT s.market, s.dt, is_roll, CASE WHEN row_number() OVER (PARTITION BY s.market ORDER BY s.dt) = 1 THEN 0 ELSE coalesce(settle / b - 1, 0) END AS ret FROM {s} s LEFT JOIN w ON w.market = s.market AND w.dt = s.dt AND w.contract = s.held"
+_BEFORE = "w AS (SELECT market, dt, contract, settle, lag(settle) OVER (PARTITION BY market, contract ORDER BY dt) AS b FROM p)"
+
+
+@query(
+    "roll_invariant",
+    f"""{_CONT}, {_BEFORE}, ch AS ({_CHAINED.format(s='s')}), we AS (SELECT market, dt, exp(sum(ln(1 + ret)) OVER (PARTITION BY market ORDER BY dt)) AS w FROM ch),
+pr AS (SELECT market, dt, settle * exp(coalesce(sum(CASE WHEN is_roll AND old_settle > 0 THEN ln(settle / old_settle) END) OVER {_LATER}, 0)) AS price FROM j)
+SELECT market, {sql_round('max(price / w) / min(price / w) - 1', 5)} AS gap FROM pr JOIN we USING (market, dt) GROUP BY market""",
+)
 def roll_invariant(spark, sf_dir):
     """Zero but for rounding where every contract held has a price at each session."""
-    return dv.invariant_gap(*_schedule(spark, sf_dir))
+    return dv.invariant_gap(*_schedule(spark, sf_dir)).withColumn("gap", rounded(F.col("gap"), 5))
+
 
+def _rules_sql() -> str:
+    """Each roll rule's schedule by the same steps, and the statistics of its chained returns."""
+    ctes = [f"{_CONTRACTS}{_ORDERED.format(rows='p')}, {_BEFORE}, gx AS (SELECT market, dt, lag(dt) OVER (PARTITION BY market ORDER BY dt) AS seen FROM (SELECT DISTINCT market, dt FROM p))"]
+    ctes.append("lq AS (SELECT q.*, z.volume AS liq FROM q JOIN gx ON gx.market = q.market AND gx.dt = q.dt LEFT JOIN p z ON z.market = q.market AND z.contract = q.contract AND z.dt = gx.seen)")
+    ctes.append("tw AS (SELECT market, dt, max(contract) FILTER (WHERE k = 1) AS a, max(contract) FILTER (WHERE k = 2) AS b, max(expiry) FILTER (WHERE k = 1) AS due, max(liq) FILTER (WHERE k = 1) AS l1, max(liq) FILTER (WHERE k = 2) AS l2, count(liq) AS n FROM lq GROUP BY 1, 2)")
+    parts = []
+    for rule, test in [*((f"calendar_{o}", f"date_diff('day', dt, due) <= {o}") for o in (1, 3, 5, 10)), *((r, "n >= 2 AND coalesce(l2, 0) > coalesce(l1, 0)") for r in ("open_interest", "volume"))]:
+        ctes.append(f"h_{rule} AS (SELECT market, dt, CASE WHEN b IS NOT NULL AND {test} THEN b ELSE a END AS held FROM tw)")
+        ctes.append(f"s_{rule} AS (SELECT *, coalesce(held <> lag(held) OVER (PARTITION BY market ORDER BY dt), false) AS is_roll FROM h_{rule}), c_{rule} AS ({_CHAINED.format(s=f's_{rule}')})")
+        parts.append(f"SELECT market, '{rule}' AS rule, count_if(is_roll) AS n_rolls, {sql_round('avg(ret) * 252', 5)} AS ann_return, {sql_round('stddev_samp(ret) * sqrt(252)', 5)} AS ann_vol, {sql_round('avg(ret) * sqrt(252) / nullif(stddev_samp(ret), 0)', 5)} AS sharpe FROM c_{rule} GROUP BY market")
+    return ", ".join(ctes) + " " + " UNION ALL ".join(parts)
 
-@query("roll_sensitivity")
+
+@query("roll_sensitivity", _rules_sql())
 def roll_sensitivity(spark, sf_dir):
-    return dv.roll_sensitivity(contracts(spark, sf_dir))
+    out = dv.roll_sensitivity(contracts(spark, sf_dir))
+    return out.select("market", "rule", "n_rolls", *[rounded(F.col(c), 5).alias(c) for c in ("ann_return", "ann_vol", "sharpe")])
+
+
+@query(
+    "roll_verdict",
+    f"SELECT market, {sql_round('max(sharpe) - min(sharpe)', 4)} AS spread, max(sharpe) - min(sharpe) <= 0.5 AS robust FROM ({_rules_sql()}) GROUP BY market",
+)
+def roll_verdict(spark, sf_dir):
+    return dv.roll_verdict(dv.roll_sensitivity(contracts(spark, sf_dir))).withColumn("spread", rounded(F.col("spread"), 4))
 
 
 @query(

@@ -65,9 +65,12 @@ _OPS: dict[str, tuple[str, str, str, int]] = {
 def _register(name: str, formula: str, window: str, value: str, digits: int) -> None:
     value = value or f"CASE WHEN n >= {_MP} THEN v END"
 
-    @query(f"op_{name}", f"{dense_sql('supp_week')}\n{_TEXT.format(window=window, value=sql_round(value, digits))}")
-    def op(spark, sf_dir):
-        return compiler.evaluate(dense(spark, sf_dir, "supp_week"), formula).withColumn("value", rounded(F.col("value"), digits))
+    sql = f"{dense_sql('supp_week')}\n{_TEXT.format(window=window, value=sql_round(value, digits))}"
+    for label, engine in ((f"op_{name}", "columns"), (f"blocks_{name}", "blocks")):
+
+        @query(label, sql)
+        def op(spark, sf_dir, engine=engine):
+            return compiler.evaluate(dense(spark, sf_dir, "supp_week"), formula, engine=engine).withColumn("value", rounded(F.col("value"), digits))
 
 
 for _name, _spec in _OPS.items():

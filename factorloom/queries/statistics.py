@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..catalog import ORACLES, query
 from ..operators import statistics as st
 from ..operators.risk import returns
-from .base import dense, dense_sql, rounded, sql_round
-from .crosssection import _CORR, _PCT
+from .base import dense, dense_sql, rounded, sql_deflated, sql_round
+from .crosssection import _CORR, _FACTOR_SQL, _PCT, _RANKED
 
 #: The SQL of eight queries takes eight suppliers as strategies; their `_all` forms at the end take every supplier.
 _NAMES = [str(i) for i in range(1, 9)]
@@ -48,10 +48,10 @@ def moments_for_dsr(spark, sf_dir, of=strategies):
     return st.moments(of(spark, sf_dir)).select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("mean", 6), ("sd", 6), ("skew", 5), ("kurt", 5))])
 
 
-@query("deflated_sharpe")
+@query("deflated_sharpe", f"{_ALL_SQL}, {sql_deflated('s')} SELECT strategy, n, {sql_round('sharpe', 6)} AS sharpe, {sql_round('hurdle', 6)} AS hurdle, {sql_round('dsr', 5)} AS dsr FROM ds")
 def deflated_sharpe(spark, sf_dir):
-    """No SQL: DuckDB has no normal distribution."""
-    return st.deflated_sharpe(all_strategies(spark, sf_dir))
+    out = st.deflated_sharpe(all_strategies(spark, sf_dir))
+    return out.select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("sharpe", 6), ("hurdle", 6), ("dsr", 5))])
 
 
 @query(
@@ -107,14 +107,38 @@ def cpcv(spark, sf_dir, of=strategies):
     return out.select("strategy", "paths", *[rounded(F.col(c), k).alias(c) for c, k in (("p05", 5), ("p50", 5), ("p95", 5), ("p_negative", 6))])
 
 
-@query("overfitting_probability")
+_PBO = f"""{_ALL_SQL}, nr AS (SELECT s_nationkey AS strategy, t, avg(ret) AS ret FROM s JOIN supplier ON CAST(s_suppkey AS VARCHAR) = s.strategy GROUP BY 1, 2),
+cv AS (SELECT strategy FROM nr GROUP BY strategy HAVING count(*) >= floor(0.8 * (SELECT count(DISTINCT t) FROM nr))), gd AS (SELECT nr.* FROM nr JOIN cv USING (strategy)),
+wh AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k, count(*) OVER () AS n FROM (SELECT t FROM gd GROUP BY t HAVING count(*) = (SELECT count(*) FROM cv))),
+bl AS (SELECT strategy, k // (n // 8) AS b, count(*) AS c, sum(ret) AS s, sum(ret * ret) AS q FROM gd JOIN wh USING (t) WHERE k // (n // 8) < 8 GROUP BY 1, 2),
+ms AS (SELECT m FROM (SELECT unnest(range(0, 256)) AS m) WHERE bit_count(m) = 4),
+hv AS (SELECT m, strategy, (m >> b) & 1 AS side, sum(c) AS c, sum(s) AS s, sum(q) AS q FROM ms, bl GROUP BY 1, 2, 3),
+ra AS (SELECT m, strategy, side, (s / c) / (sqrt(greatest(q - c * (s / c) * (s / c), 0) / (c - 1)) + 1e-12) AS r FROM hv),
+bs AS (SELECT m, arg_max(strategy, {{'r': r, 'k': -strategy}}) AS strategy FROM ra WHERE side = 1 GROUP BY m),
+rk AS (SELECT m, strategy, (rank() OVER (PARTITION BY m ORDER BY r) + (count(*) OVER (PARTITION BY m, r) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY m) + 1) AS w FROM ra WHERE side = 0)
+SELECT {sql_round('avg(CAST(w <= 0.5 AS INT))', 6)} AS pbo FROM rk JOIN bs USING (m, strategy)"""
+
+
+@query("overfitting_probability", _PBO)
 def overfitting_probability(spark, sf_dir):
-    """One number by sampling combinations of block halves on the driver; no SQL. Suppliers share no week, so a strategy
-    holds all suppliers of a nation in equal parts."""
+    """All choices of half of eight blocks. Suppliers share no week, so a strategy holds all suppliers of a nation in equal
+    parts."""
     nation = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("strategy"), F.col("s_nationkey").alias("nation"))
     held = all_strategies(spark, sf_dir).join(nation, "strategy").groupBy(F.col("nation").alias("strategy"), "t").agg(F.avg("ret").alias("ret"))
     p = st.overfitting_probability(held, blocks=8)
-    return spark.createDataFrame([(float(p),)], "pbo double")
+    return spark.createDataFrame([(float(p),)], "pbo double").select(rounded(F.col("pbo"), 6).alias("pbo"))
+
+
+@query(
+    "average_correlation",
+    f"""{_ALL_SQL}, en AS (SELECT strategy FROM s GROUP BY strategy HAVING count(*) >= 30 AND stddev_samp(ret) > 0), kp AS (SELECT s.* FROM s JOIN en USING (strategy)),
+pr AS (SELECT x.strategy AS a, y.strategy AS b, corr(x.ret, y.ret) AS c FROM kp x JOIN kp y ON x.t = y.t AND x.strategy < y.strategy GROUP BY 1, 2),
+av AS (SELECT (SELECT count(DISTINCT k) FROM (SELECT a AS k FROM pr UNION ALL SELECT b FROM pr)) AS n, sum(abs(CASE WHEN isnan(c) THEN 0 ELSE coalesce(c, 0) END)) AS total FROM pr)
+SELECT n AS n_raw, {sql_round('total / (n * (n - 1) / 2)', 5)} AS mean_abs_corr, {sql_round('n / (1 + (n - 1) * total / (n * (n - 1) / 2))', 4)} AS n_eff_avg_corr FROM av""",
+)
+def average_correlation(spark, sf_dir):
+    out = st.average_correlation(all_strategies(spark, sf_dir))
+    return out.select("n_raw", rounded(F.col("mean_abs_corr"), 5).alias("mean_abs_corr"), rounded(F.col("n_eff_avg_corr"), 4).alias("n_eff_avg_corr"))
 
 
 @query("effective_trials")
@@ -143,12 +167,34 @@ def evaluate_series(spark, sf_dir):
     return out.select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("spearman", 6), ("pearson", 6), ("hit_rate", 6), ("sharpe", 5))])
 
 
-@query("lag_decay")
+_LAGS = "{0}, vl AS ({1}), vk AS (SELECT factor, lag, dt, instrument, value, y, count(*) OVER (PARTITION BY factor, lag, dt) AS n FROM vl WHERE value IS NOT NULL AND y IS NOT NULL), rl AS (SELECT *, {2} AS rf, {3} AS ry FROM vk WHERE n > 30), cl AS (SELECT factor, lag, dt, {4} AS ic FROM rl GROUP BY 1, 2, 3), lc AS (SELECT factor, lag, avg(ic) AS ic FROM cl GROUP BY 1, 2)".format(
+    _FACTOR_SQL,
+    " UNION ALL ".join(f"SELECT factor, {k} AS lag, dt, instrument, {f'lag(value, {k}) OVER (PARTITION BY factor, instrument ORDER BY dt)' if k else 'value'} AS value, y FROM v" for k in (0, 1, 2)),
+    _PCT.format(by="factor, lag, dt", x="value"),
+    _PCT.format(by="factor, lag, dt", x="y"),
+    _CORR.format(a="rf", b="ry"),
+)
+
+
+@query("lag_decay", f"{_LAGS} SELECT factor, lag, {sql_round('ic', 6)} AS ic FROM lc")
 def lag_decay(spark, sf_dir):
-    """Mean coefficient by delay; the coefficient itself is checked by rank_ic."""
+    """Mean coefficient by delay."""
+    from .crosssection import values
+
+    return st.lag_decay(values(spark, sf_dir), (0, 1, 2)).withColumn("ic", rounded(F.col("ic"), 6))
+
+
+@query(
+    "lag_decay_shape",
+    f"""{_LAGS}, ed AS (SELECT factor, arg_min(ic, lag) AS base, arg_max(ic, lag) AS last, max(lag) - min(lag) AS steps, arg_min(lag, {{'y': ic, 'x': lag}}) AS worst FROM lc GROUP BY 1)
+SELECT factor, {sql_round('base', 6)} AS base, {sql_round('(base - last) / steps', 6)} AS per_step, (SELECT min(lag) FROM lc WHERE lc.factor = ed.factor AND base > 0 AND ic <= base / 2) AS half_life, worst,
+coalesce((SELECT min(lag) FROM lc WHERE lc.factor = ed.factor AND base > 0 AND ic <= base / 2) <= 1, false) AS race FROM ed""",
+)
+def lag_decay_shape(spark, sf_dir):
     from .crosssection import values
 
-    return st.lag_decay(values(spark, sf_dir), (0, 1, 2))
+    out = st.decay_shape(st.lag_decay(values(spark, sf_dir), (0, 1, 2)), "lag", "ic", ["factor"])
+    return out.select("factor", rounded(F.col("base"), 6).alias("base"), rounded(F.col("per_step"), 6).alias("per_step"), "half_life", "worst", "race")
 
 
 for _f in (tstat_sharpe, moments_for_dsr, nonoverlap, autocorr, newey_west, effective_breadth_pairs, log_wealth, cpcv):

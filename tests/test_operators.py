@@ -284,3 +284,91 @@ def test_normal_distribution_as_a_column(spark):
     points = [-4.0, -1.5, -0.1, 0.0, 0.7, 2.0, 5.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in points], "x double").select(normal_cdf(F.col("x"))).collect()]
     assert np.allclose(got, [NormalDist().cdf(x) for x in points], atol=2e-7)
+
+
+def test_normal_functions_are_exact_and_inverse(spark):
+    from statistics import NormalDist
+
+    from factorloom.functions.scalars import normal_cdf, normal_quantile
+
+    points = [1e-12, 1e-5, 0.02, 0.024, 0.3, 0.5, 0.7, 0.99, 1 - 1e-9]
+    rows = spark.createDataFrame([(x,) for x in points] + [(0.0,), (1.0,), (None,)], "p double").select("p", normal_quantile(F.col("p")).alias("z"), normal_cdf(normal_quantile(F.col("p"))).alias("back")).collect()
+    for r in rows[: len(points)]:
+        assert r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), abs=1e-9) and r["back"] == pytest.approx(r["p"], rel=1e-9)
+    assert all(r["z"] is None for r in rows[len(points) :])
+    far = spark.createDataFrame([(x,) for x in (-9.0, -7.5, 7.5, 9.0)], "x double").select(normal_cdf(F.col("x"))).collect()
+    assert [r[0] for r in far] == pytest.approx([NormalDist().cdf(x) for x in (-9.0, -7.5, 7.5, 9.0)], rel=1e-6)
+
+
+def test_bandit_deals_in_proportion_and_remembers(tmp_path):
+    path = str(tmp_path / "bandit.json")
+    b = records.Bandit(seed=3, path=path)
+    for _ in range(6):
+        b.update("trend", True, True)
+        b.update("range", False, True)
+    b.save()
+    again = records.Bandit(seed=3, path=path)
+    rng = np.random.default_rng(3)
+    draw = {k: float(rng.beta(1 + r["wins"], 1 + r["trials"] - r["wins"])) for k, r in again.record.items()}
+    got, free = again.allocate(50), 50 - len(draw)
+    floors = {k: 1 + int(free * d / sum(draw.values())) for k, d in draw.items()}
+    best = max(draw, key=draw.get)
+    assert got == floors | {best: floors[best] + 50 - sum(floors.values())}
+    assert again.divergence()["range"] == {"trials": 6, "reward_rate": 0.0, "in_sample_rate": 1.0, "gap": 1.0} and again.rates()["liquidity"] is None
+    assert records.Bandit().allocate(3) == dict.fromkeys(records.Bandit().record, 1)
+
+
+def test_lifecycle_by_windows_follows_member_by_member(spark):
+    from factorloom.operators import library
+
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for i in range(60):
+        m = records.Member(f"m{i}", "$close", 1, status=["probation", "active", "retired"][i % 3])
+        for k in range(8):
+            t, n = [float(rng.normal(1.2, 1.2)), None][int(rng.random() < 0.08)], int(rng.integers(5, 90))
+            rows.append((m.name, k, t, n, ["probation", "active", "retired"][i % 3]))
+            m.recheck(t, n, str(k), short="strike")
+            want[m.name, k] = (m.status, m.strikes)
+    got = {(r["name"], r["k"]): (r["status"], r["strikes"]) for r in library.lifecycle(spark.createDataFrame(rows, "name string, k int, t double, n int, status string")).collect()}
+    assert got == want and len({s for s, _ in got.values()}) == 3
+
+
+def test_weak_strong_weak_does_not_retire():
+    m = records.Member("a", "$close", 1)
+    for day, (t, n) in enumerate([(0.2, 60), (3.0, 60), (0.2, 60), (1.5, 60), (2.5, 60), (1.5, 60), (2.5, 60)]):
+        m.recheck(t, n, str(day), short="strike")
+    assert (m.status, m.strikes, m.passes) == ("probation", 0, 1)
+    m.recheck(9.0, 10, "short", short="strike")
+    m.recheck(None, 60, "none", short="strike")
+    assert m.status == "retired"
+
+
+def test_library_store_follows_its_rows(spark):
+    from factorloom.operators import library
+
+    cols = "name string, expr string, sign int, status string, passes int, strikes int, fingerprint string, family string, added_on date, updated_at int"
+    old = spark.createDataFrame([("a", "$close", 1, "probation", 0, 0, "f1", "trend", D(2024, 1, 1), 1), ("b", "$open", 1, "active", 2, 0, "", "range", D(2024, 1, 2), 1), ("c", "$low", -1, "active", 0, 0, "f3", None, D(2024, 1, 3), 1)], cols)
+    new = spark.createDataFrame([("a", "$close", -1, "active", 2, 0, "", "", D(2024, 2, 1), 2), ("b", "$open", 1, "active", 2, 0, "", "range", D(2024, 1, 2), 1), ("d", "$high", 1, "probation", 0, 0, "f4", "range", D(2024, 2, 1), 2)], cols)
+    merged = {r["name"]: r for r in library.upsert(old, new).collect()}
+    assert merged["a"]["status"] == "active" and merged["a"]["fingerprint"] == "f1" and merged["a"]["family"] == "trend" and merged["a"]["added_on"] == D(2024, 1, 1) and len(merged) == 4
+    fields = ["expr", "sign", "status", "passes", "strikes"]
+    assert {r["name"]: r["action"] for r in library.sync(old, new, "name", fields).collect()} == {"a": "update", "b": "keep", "c": "delete", "d": "insert"}
+    after = library.applied(old, new, "name", fields)
+    assert {r["name"] for r in after.collect()} == {"a", "b", "d"} and {r["action"] for r in library.sync(after, new, "name", fields).collect()} == {"keep"}
+    assert [r["name"] for r in library.find(library.identity(old), spark.createDataFrame([("f3",), ("zz",)], "fingerprint string")).collect()] == ["c"]
+    assert library.identity(old).where("name = 'b'").first()["fingerprint"]
+    digest = lambda df: library.state_digest(df).first()["digest"]
+    assert digest(old) == digest(old.repartition(3)) != digest(new)
+    import hashlib
+
+    assert digest(old.where("name <> 'b'")) == hashlib.sha1(b"a|probation|0|0|f1\nc|active|0|0|f3").hexdigest()
+
+
+def test_cost_and_decay_verdicts(spark):
+    curve = spark.createDataFrame([("a", m, v) for m, v in ((0.0, 5.0), (1.0, 3.0), (2.0, 1.0), (3.0, -1.0), (5.0, None))] + [("b", 2.0, 1.0), ("b", 3.0, 0.5)], "run string, multiple double, value double")
+    got = {r["run"]: tuple(r)[1:] for r in st.cost_verdict(curve, ["run"]).collect()}
+    assert got == {"a": (3.0, 3.0, 2.0, False), "b": (1.0, None, None, True)}
+    lags = spark.createDataFrame([("x", 0, 4.0), ("x", 1, 2.0), ("x", 5, 1.0), ("y", 0, 1.0), ("z", 0, -1.0), ("z", 2, float("nan")), ("z", 3, -2.0)], "s string, lag int, v double")
+    got = {r["s"]: tuple(r)[1:] for r in st.decay_shape(lags, "lag", "v", ["s"]).collect()}
+    assert got == {"x": (4.0, 0.6, 1, 5, True), "z": (-1.0, pytest.approx(1 / 3), None, 3, False)}
