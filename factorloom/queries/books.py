@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import ORACLES, query
 from ..operators import books
+from ..operators import statistics as st
 from ..plans import compiler
 from ..sources import panels
-from .base import BARS, dense, rounded, sql_round
+from .base import BARS, dense, dense_sql, rounded, sql_round
 from .risk import _BASE
 
 _COSTS = books.Costs()
@@ -26,16 +27,81 @@ def _bench(spark, sf_dir):
     return books.benchmark_returns(panels.benchmark(panels.supp_week(spark, sf_dir)))
 
 
-@query("backtest_topk")
+_HORIZON, _TOPK, _KEEP = 4, 10, 20
+_RETURNS = f"""{dense_sql('supp_week').replace('WITH ', 'WITH RECURSIVE ', 1)},
+rt AS (SELECT instrument, pos, dt, close, close / nullif(lag(close) OVER o, 0) - 1 AS ret, coalesce(volume <= 0, true) AS stuck FROM d WINDOW o AS (PARTITION BY instrument ORDER BY pos)),
+bn AS (SELECT dt, close / lag(close) OVER (ORDER BY dt) - 1 AS bench FROM (SELECT dt, avg(close) AS close FROM bars GROUP BY dt))"""
+_REVERSAL = "sc AS (SELECT 'all' AS score_of, instrument, pos, -ret AS score FROM rt WHERE ret IS NOT NULL)"
+
+
+def _book_sql(scores: str, runs: str, limits: str = "", signal: str = "true") -> str:
+    """CTEs up to dl (run, dt, ret, turnover): equal-weight books by recursion over rebalances. `scores` defines sc (score_of,
+    instrument, pos, score) and `runs` is a list of (run, score_of, multiple) values."""
+    return f"""{_RETURNS}, {scores},
+mu AS (SELECT * FROM (VALUES {runs}) AS x(run, score_of, multiple)), lt AS (SELECT max(pos) AS last FROM rt),
+sg AS (SELECT score_of, pos AS s, j // {_HORIZON} AS k FROM (SELECT score_of, pos, row_number() OVER (PARTITION BY score_of ORDER BY pos) - 1 AS j FROM (SELECT DISTINCT score_of, pos FROM sc WHERE score IS NOT NULL)) WHERE j % {_HORIZON} = 0),
+pl AS (SELECT score_of, k, s, s + 1 AS trade, least(coalesce(lead(s) OVER (PARTITION BY score_of ORDER BY k) + 1, s + 1 + {_HORIZON}), last) AS z, last FROM sg, lt),
+rk AS (SELECT pl.score_of, k, list(instrument ORDER BY score DESC, instrument) AS ranked FROM pl JOIN sc ON sc.score_of = pl.score_of AND sc.pos = pl.s WHERE score IS NOT NULL AND trade <= last GROUP BY 1, 2),
+sk AS (SELECT score_of, k, trade, z, coalesce(list(instrument) FILTER (WHERE stuck), []) AS stuck FROM pl JOIN rt ON rt.pos = pl.trade GROUP BY 1, 2, 3, 4),
+st AS (SELECT sk.*, ranked FROM sk JOIN rk USING (score_of, k)),
+bt AS (SELECT run, score_of, multiple, CAST(-1 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS held, CAST([] AS VARCHAR[]) AS before, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS buys, CAST(NULL AS BIGINT) AS trade, CAST(NULL AS BIGINT) AS z FROM mu
+  UNION ALL SELECT run, score_of, multiple, k, list_concat(kept, buys), before, kept, buys, trade, z FROM (
+    SELECT *, list_slice(list_filter(ranked, lambda x: NOT list_contains(kept, x) AND NOT list_contains(stuck, x)), 1, greatest({_TOPK} - len(kept), 0)) AS buys FROM (
+      SELECT bt.run, bt.score_of, bt.multiple, st.k, bt.held AS before, st.ranked, st.stuck, st.trade, st.z, list_filter(bt.held, lambda x: coalesce(list_position(ranked, x), 0) BETWEEN 1 AND {_KEEP} OR list_contains(stuck, x)) AS kept
+      FROM bt JOIN st ON st.score_of = bt.score_of AND st.k = bt.k + 1))),
+co AS (SELECT run, trade AS pos, len(buys) / greatest(len(held), 1) AS turnover, multiple * (len(buys) / greatest(len(held), 1) * 0.0013 + CASE WHEN len(before) > 0 THEN (len(before) - len(kept)) / len(before) * 0.0018 ELSE 0 END) AS cost FROM bt WHERE k >= 0),
+hd AS (SELECT run, z, trade, unnest(held) AS instrument FROM bt WHERE k >= 0),
+gr AS (SELECT run, rt.pos, avg(coalesce(ret, 0)) AS ret FROM hd JOIN rt ON rt.instrument = hd.instrument AND rt.pos > trade AND rt.pos <= z GROUP BY 1, 2),
+sp AS (SELECT run, min(trade) AS a, max(z) AS z FROM bt WHERE k >= 0 GROUP BY 1),
+dl AS (SELECT sp.run, c.dt, coalesce(gr.ret, 0) - coalesce(cost, 0) AS ret, turnover FROM sp JOIN cal c ON c.pos BETWEEN sp.a AND sp.z LEFT JOIN gr ON gr.run = sp.run AND gr.pos = c.pos LEFT JOIN co ON co.run = sp.run AND co.pos = c.pos)"""
+
+
+def _metrics_sql(periods: int) -> str:
+    """The metrics of dl against bn."""
+    return f"""SELECT run, count(*) AS n_days, {sql_round(f'sum(ln(1 + ret)) * {periods} / count(*)', 5)} AS log_growth, {sql_round(f'stddev_samp(ret) * sqrt({periods})', 6)} AS vol, {sql_round(f'avg(ret) / stddev_samp(ret) * sqrt({periods})', 5)} AS sharpe, {sql_round('min(down)', 6)} AS max_dd,
+{sql_round(f'sum(ln(1 + bench)) * {periods} / count(*)', 5)} AS bench_log_growth, {sql_round(f'avg(ret - bench) * {periods}', 6)} AS excess_ann, {sql_round(f'avg(ret - bench) / stddev_samp(ret - bench) * sqrt({periods})', 5)} AS info_ratio
+FROM (SELECT *, exp(lw - max(lw) OVER (PARTITION BY run ORDER BY dt)) - 1 AS down FROM (SELECT run, dl.dt, ret, coalesce(bench, 0) AS bench, sum(ln(1 + ret)) OVER (PARTITION BY run ORDER BY dl.dt) AS lw FROM dl LEFT JOIN bn ON bn.dt = dl.dt)) GROUP BY run"""
+
+
+def _measured(metrics):
+    """Rounded; growth as a logarithm, since synthetic prices compound without bound."""
+    logs = metrics.withColumns({"log_growth": F.log1p("cagr"), "bench_log_growth": F.log1p("bench_cagr")})
+    return logs.select("run", "n_days", *[rounded(F.col(c), k).alias(c) for c, k in (("log_growth", 5), ("vol", 6), ("sharpe", 5), ("max_dd", 6), ("bench_log_growth", 5), ("excess_ann", 6), ("info_ratio", 5))])
+
+
+_THREE = "('x1', 'all', 1.0), ('x2', 'all', 2.0), ('x3', 'all', 3.0)"
+
+
+def _topk(spark, sf_dir, multiples=(1.0, 2.0, 3.0)):
+    runs = spark.createDataFrame([(f"x{m:g}", m) for m in multiples], "run string, multiple double")
+    return books.backtest(_inputs(spark, sf_dir), runs, _HORIZON, _TOPK, _KEEP, _COSTS, limits=False)
+
+
+@query("backtest_topk", f"{_book_sql(_REVERSAL, _THREE)} SELECT run, dt, {sql_round('ret', 8)} AS ret, {sql_round('turnover', 6)} AS turnover FROM dl")
 def backtest_topk(spark, sf_dir):
     """Top-k books at one, two and three times the costs."""
-    runs = spark.createDataFrame([("x1", 1.0), ("x2", 2.0), ("x3", 3.0)], "run string, multiple double")
-    return books.backtest(_inputs(spark, sf_dir), runs, 4, 10, 20, _COSTS, limits=False)
+    return _topk(spark, sf_dir).select("run", "dt", rounded(F.col("ret"), 8).alias("ret"), rounded(F.col("turnover"), 6).alias("turnover"))
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", f"{_book_sql(_REVERSAL, _THREE)} {_metrics_sql(52)}")
 def backtest_metrics(spark, sf_dir):
-    return books.metrics(backtest_topk(spark, sf_dir), _bench(spark, sf_dir), 52)
+    return _measured(books.metrics(_topk(spark, sf_dir), _bench(spark, sf_dir), 52))
+
+
+_SWEEP = "('x0', 'all', 0.0), ('x1', 'all', 1.0), ('x2', 'all', 2.0), ('x3', 'all', 3.0), ('x5', 'all', 5.0)"
+
+
+@query(
+    "cost_sweep",
+    f"""{_book_sql(_REVERSAL, _SWEEP)}, cu AS (SELECT run, CAST(substr(run, 2) AS DOUBLE) AS m, avg(ret - coalesce(bench, 0)) * 52 AS v FROM dl LEFT JOIN bn USING (dt) GROUP BY run)
+SELECT 'reversal' AS strategy, {sql_round('max(v) FILTER (WHERE m = 1)', 6)} AS at_cost, min(m) FILTER (WHERE m >= 1 AND v <= 0) AS breaks_at, {sql_round('max(v) FILTER (WHERE m = 0) - max(v) FILTER (WHERE m = 1)', 6)} AS free_uplift, max(v) FILTER (WHERE m = 3) > 0 AS survives_3x FROM cu""",
+)
+def cost_sweep(spark, sf_dir):
+    """What is left of a strategy as its costs grow."""
+    m = books.metrics(_topk(spark, sf_dir, (0.0, 1.0, 2.0, 3.0, 5.0)), _bench(spark, sf_dir), 52)
+    curve = m.select(F.lit("reversal").alias("strategy"), F.substring("run", 2, 9).cast("double").alias("multiple"), F.col("excess_ann").alias("value"))
+    out = st.cost_verdict(curve, ["strategy"])
+    return out.select("strategy", rounded(F.col("at_cost"), 6).alias("at_cost"), "breaks_at", rounded(F.col("free_uplift"), 6).alias("free_uplift"), "survives_3x")
 
 
 @query("portfolio_neutral")
@@ -49,12 +115,17 @@ def capacity(spark, sf_dir):
     return books.capacity(_inputs(spark, sf_dir), books.Book(topk=10, max_weight=0.2), [1e4, 1e5, 1e6], 4, _COSTS, _bench(spark, sf_dir))
 
 
-@query("sanity")
+_SANITY = f"""og AS (SELECT instrument, pos, ret, CASE WHEN lead(ret, {_HORIZON + 1}) OVER o IS NOT NULL THEN sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER (o ROWS BETWEEN 2 FOLLOWING AND {_HORIZON + 1} FOLLOWING) END AS oracle FROM rt WINDOW o AS (PARTITION BY instrument ORDER BY pos)),
+sc AS (SELECT 'oracle' AS score_of, instrument, pos, oracle AS score FROM og UNION ALL SELECT 'random', instrument, pos, CASE WHEN ret IS NOT NULL THEN CAST(('0x' || substr(md5('5:' || instrument || ':' || pos), 1, 8)) AS BIGINT)::DOUBLE END FROM og
+  UNION ALL SELECT 'stale', instrument, pos, lag(oracle, {4 * _HORIZON}) OVER (PARTITION BY instrument ORDER BY pos) FROM og)"""
+
+
+@query("sanity", f"{_book_sql(_SANITY, ', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{k}{chr(39)}, 1.0)' for k in ('oracle', 'random', 'stale')))} {_metrics_sql(52)}")
 def sanity(spark, sf_dir):
     """Oracle, random and stale scores through the same engine."""
-    rows = books.sanity_runs(_inputs(spark, sf_dir), 4)
+    rows = books.sanity_runs(_inputs(spark, sf_dir), _HORIZON)
     runs = spark.createDataFrame([(k, 1.0) for k in ("oracle", "random", "stale")], "run string, multiple double")
-    return books.metrics(books.backtest(rows, runs, 4, 10, 20, _COSTS, limits=False), _bench(spark, sf_dir), 52)
+    return _measured(books.metrics(books.backtest(rows, runs, _HORIZON, _TOPK, _KEEP, _COSTS, limits=False), _bench(spark, sf_dir), 52))
 
 
 @query(

@@ -10,6 +10,7 @@ from ..operators import books, models, reports
 from ..operators import crosssection as xs
 from ..plans import compiler, studies
 from ..sources import panels
+from .books import _book_sql, _measured, _metrics_sql
 from .base import BARS, DENSE, dense, dense_sql, rounded, sql_round
 from .crosssection import FACTORS, values
 from .records import _ID, _TRIALS, trials
@@ -51,13 +52,31 @@ def hierarchy(spark, sf_dir):
     return studies.hierarchy(many.unionByName(many.where("factor = 'size'").withColumn("factor", F.lit("size2"))), families.withColumn("family", F.lit("price")).unionByName(spark.createDataFrame([("size2", "price", -1)], families.schema)))
 
 
-@query("protocol_audit")
+def _signed(rank_or_z: str) -> str:
+    """Mean of the two factors with sign -1 of (factor, instrument, pos, x)."""
+    return f"SELECT instrument, pos, avg(-({rank_or_z})) AS score FROM {{rows}} GROUP BY 1, 2"
+
+
+def _audit_factors(name: str, frame: str) -> str:
+    mean = f"CASE WHEN count(close) OVER w >= 2 THEN avg(close) OVER w END"
+    return f"""f{name} AS (SELECT instrument, pos, 'reversal' AS factor, close / nullif(lag(close) OVER (PARTITION BY instrument ORDER BY pos), 0) - 1 AS value FROM rt UNION ALL SELECT instrument, pos, 'trend', close / nullif({mean}, 0) - 1 FROM rt WINDOW w AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN {frame})),
+r{name} AS (SELECT factor, instrument, pos, CASE WHEN value IS NULL THEN 0 ELSE (rank() OVER p + (count(*) OVER (PARTITION BY factor, pos, value) - 1) / 2.0::DOUBLE) / count(value) OVER (PARTITION BY factor, pos) - 0.5 END AS x FROM f{name} WINDOW p AS (PARTITION BY factor, pos, value IS NULL ORDER BY value)),
+b{name} AS ({_signed('x').format(rows=f'r{name}')})"""
+
+
+_AUDIT = f"""{_audit_factors('c', '4 PRECEDING AND CURRENT ROW')}, {_audit_factors('l', '2 PRECEDING AND 2 FOLLOWING')},
+gs AS (SELECT factor, avg(value) AS m, stddev_pop(value) AS s FROM fc GROUP BY factor), gz AS (SELECT instrument, pos, coalesce((value - m) / nullif(s, 0), 0) AS x FROM fc JOIN gs USING (factor)), bg AS ({_signed('x').format(rows='gz')}),
+sc AS (SELECT 'base' AS score_of, instrument, pos, score FROM bc UNION ALL SELECT 'early', instrument, pos, lead(score) OVER (PARTITION BY instrument ORDER BY pos) FROM bc UNION ALL SELECT 'centred', instrument, pos, score FROM bl UNION ALL SELECT 'global', instrument, pos, score FROM bg)"""
+_AUDIT_RUNS = "('causal', 'base', 1.0), ('same_day', 'early', 1.0), ('no_costs', 'base', 0.0), ('triple_costs', 'base', 3.0), ('centred_windows', 'centred', 1.0), ('global_scaling', 'global', 1.0)"
+
+
+@query("protocol_audit", f"{_book_sql(_AUDIT, _AUDIT_RUNS)} {_metrics_sql(244)}")
 def protocol_audit(spark, sf_dir):
-    """One convention changed at a time through the sequential engine; no SQL."""
+    """One convention changed at a time through the sequential engine."""
     panel = dense(spark, sf_dir, "supp_week")
     bench = books.benchmark_returns(panels.benchmark(panels.supp_week(spark, sf_dir)))
-    formulas = {"reversal": ("$close/Ref($close,1)-1", -1), "trend": ("$close/Mean($close,5)", -1)}
-    return studies.audit(panel, bench, formulas, 4, 10, 20, limits=False)
+    formulas = {"reversal": ("$close/Ref($close,1)-1", -1), "trend": ("$close/Mean($close,5)-1", -1)}
+    return _measured(studies.audit(panel, bench, formulas, 4, 10, 20, limits=False))
 
 
 _FORWARD = f"""WITH {BARS['supp_week']}, {DENSE},
