@@ -12,10 +12,8 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from pyspark.sql import SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 from factorloom import catalog  # noqa: E402
-from factorloom.operators import crosssection as xs  # noqa: E402
 from factorloom.plans import compiler, discover  # noqa: E402
 from factorloom.plans import formula as fm  # noqa: E402
 from factorloom.queries.base import dense  # noqa: E402
@@ -40,9 +38,7 @@ def candidates(spark):
 
 def coefficients(spark):
     """Rank and Pearson coefficients and long-short spreads of 40 formulas over the weekly panel."""
-    panel = dense(spark, SF, "supp_week").withColumn("y", compiler.label(F.col("close"), 5))
-    wide = compiler.evaluate(panel, formulas(20), ("instrument", "dt", "y"), engine="blocks").where("y is not null")
-    return xs.evaluate(xs.melt(wide, list(formulas(20)), ("instrument", "dt", "y")))
+    return discover.evaluate(dense(spark, SF, "supp_week"), formulas(20), 5)
 
 
 def main() -> None:

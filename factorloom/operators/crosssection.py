@@ -12,12 +12,39 @@ from ..plans.compiler import finite
 
 
 def percent_rank(x: str | Column, by: list[str]) -> Column:
-    """Average-tie percentile rank of x among the non-NULL values of its group."""
+    """Average-tie percentile rank of x among the non-NULL values of its group, from one sort: a row's ties are its peers."""
     x = F.col(x) if isinstance(x, str) else x
-    first = F.rank().over(Window.partitionBy(*by).orderBy(x.asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
+    order = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
     n = F.count(x).over(Window.partitionBy(*by))
-    return F.when(x.isNotNull(), (first + (ties - 1) / 2.0) / n)
+    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2.0) / n)
+
+
+#: Sketch accuracy of quantile brackets: each holds about six rows in SKETCH of its group.
+SKETCH = 10_000
+
+
+def exact_quantiles(df: DataFrame, by: list[str], x: str, at: tuple[float, ...]) -> DataFrame:
+    """by, n, q (array): exact interpolated quantiles of the non-NULL values of few large groups. A sketch brackets each
+    quantile; a second pass counts what lies below a bracket and keeps only the values in it, so that no task holds a group's
+    values. NULL for groups without values."""
+    edge = [min(1.0, max(0.0, q + d)) for q in at for d in (-2 / SKETCH, 2 / SKETCH)]
+    bound = df.groupBy(*by).agg(F.count(x).alias("n"), F.percentile_approx(x, edge, SKETCH).alias("__b"))
+    inside = df.where(F.col(x).isNotNull()).join(F.broadcast(bound), by)  # a row a group
+    found = []
+    for i in range(len(at)):
+        lo, hi = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]
+        v = F.col(x)
+        found += [F.count_if(v < lo).alias(f"__c{i}"), F.collect_list(F.when((v >= lo) & (v <= hi), v)).alias(f"__v{i}"), F.max(F.when(v < lo, v)).alias(f"__l{i}"), F.min(F.when(v > hi, v)).alias(f"__h{i}")]
+    counted = inside.groupBy(*by).agg(F.first("n").alias("n"), *found)
+    values = []
+    for i, q in enumerate(at):
+        near = F.concat(F.array(f"__l{i}"), F.array_sort(f"__v{i}"), F.array(f"__h{i}"))  # the values next to the bracket count too
+        place = q * (F.col("n") - 1)
+        k = F.floor(place)
+        low, high = F.get(near, (k - F.col(f"__c{i}") + 1).cast("int")), F.get(near, (k - F.col(f"__c{i}") + 2).cast("int"))
+        values.append(F.when(place > k, low + (high - low) * (place - k)).otherwise(low))
+    return bound.select(*by, "n").join(counted.select(*by, F.array(*values).alias("q")), by, "left")
 
 
 def centred_rank(x: str | Column, by: list[str]) -> Column:
@@ -30,11 +57,16 @@ def melt(wide: DataFrame, factors: list[str], keys: tuple[str, ...] = ("instrume
     return wide.unpivot(list(keys), factors, "factor", "value")
 
 
+def valid(values: DataFrame, least: int = 31) -> DataFrame:
+    """Rows with a finite value and y, of (factor, dt) groups of at least `least` such rows, with n."""
+    rows = values.withColumn("value", finite(F.col("value"))).where("value is not null and y is not null")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("factor", "dt"))).where(F.col("n") >= least)
+
+
 def ranked(values: DataFrame, least: int = 31) -> DataFrame:
-    """Valid rows (finite value, y present) of (factor, dt) groups of at least `least` rows, with ranks rf, ry and n."""
-    valid = values.withColumn("value", finite(F.col("value"))).where("value is not null and y is not null")
+    """The valid rows with ranks rf and ry."""
     by = ["factor", "dt"]
-    return valid.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where(F.col("n") >= least).withColumn("rf", percent_rank("value", by)).withColumn("ry", percent_rank("y", by))
+    return valid(values, least).withColumn("rf", percent_rank("value", by)).withColumn("ry", percent_rank("y", by))
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -47,10 +79,13 @@ def evaluate(values: DataFrame, least: int = 31) -> DataFrame:
     """factor, dt, n, rank_ic, ls, pearson_ic: values (factor, dt, instrument, value, y).
 
     The long-short is the mean y of ranks above 0.8 minus that of ranks up to 0.2; the Pearson coefficient clips values at
-    the factor's 1 % and 99 % quantiles over all kept rows."""
-    rows = ranked(values, least)
-    bounds = rows.groupBy("factor").agg(F.percentile("value", F.lit(0.01)).alias("lo"), F.percentile("value", F.lit(0.99)).alias("hi"))  # a row a factor
-    clipped = rows.join(F.broadcast(bounds), "factor").withColumn("w", F.greatest(F.least("value", "hi"), F.col("lo")))
+    the factor's 1 % and 99 % quantiles over all kept rows. The values are read three times: costly ones should be written
+    first."""
+    rows = values.withColumn("value", finite(F.col("value"))).where("value is not null and y is not null")
+    groups = rows.groupBy("factor", "dt").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("factor", "dt")  # a row a factor and date
+    bounds = exact_quantiles(rows.join(F.broadcast(groups), ["factor", "dt"]).select("factor", "value"), ["factor"], "value", (0.01, 0.99))
+    edge = bounds.select("factor", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))  # a row a factor
+    clipped = ranked(values, least).join(F.broadcast(edge), "factor").withColumn("w", F.greatest(F.least("value", "hi"), F.col("lo")))
     return clipped.groupBy("factor", "dt").agg(
         F.count("*").alias("n"),
         correlation(F.col("rf"), F.col("ry")).alias("rank_ic"),
@@ -81,7 +116,7 @@ def numerical_checks(values: DataFrame, max_invalid: float = 0.30, min_coverage:
     """For each factor: invalid and extreme shares, mean coverage of the fullest date, median distinct values and mean share
     of distinct values of a date, and whether all pass. Values: (factor, dt, instrument, value) with NULLs in place."""
     df = values.withColumn("value", finite(F.col("value")))
-    spread = df.groupBy("factor").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"))
+    spread = exact_quantiles(df, ["factor"], "value", (0.01, 0.5, 0.99)).select("factor", "q")
     far = F.abs(F.col("value") - F.col("q")[1]) > 1e6 * F.greatest(F.abs(F.col("q")[2] - F.col("q")[0]), F.lit(1e-12))
     whole = df.join(F.broadcast(spread), "factor").groupBy("factor").agg((1 - F.count("value") / F.count("*")).alias("invalid"), F.avg(F.when(F.col("value").isNotNull(), far.cast("int"))).alias("extreme"))
     days = df.groupBy("factor", "dt").agg(F.count("value").alias("present"), F.countDistinct("value").alias("distinct"))

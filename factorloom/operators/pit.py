@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .crosssection import centred_rank, winsorise
+from .crosssection import centred_rank, exact_quantiles, winsorise
 
 
 def reporting_lag(rows: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def quality_report(rows: DataFrame) -> DataFrame:
     """For each tag: rows, keys, lag median, 90 % and maximum, negative lags, restated rows, outliers (more than 20 times the
     interquartile range from the median)."""
     lagged = reporting_lag(rows).withColumn("restated", (F.count("*").over(Window.partitionBy("key", "tag", "period")) > 1).cast("int"))
-    q = rows.groupBy("tag").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(rows, ["tag"], "value", (0.25, 0.5, 0.75)).select("tag", "q")
     far = F.abs(F.col("value") - F.col("q")[1]) > 20 * (F.col("q")[2] - F.col("q")[0] + 1e-9)
     return lagged.join(F.broadcast(q), "tag").groupBy("tag").agg(
         F.count("*").alias("n_rows"), F.countDistinct("key").alias("n_keys"), F.percentile("lag_days", F.lit(0.5)).alias("lag_median"), F.percentile("lag_days", F.lit(0.9)).alias("lag_p90"),

@@ -60,9 +60,9 @@ def versions(runs: DataFrame) -> DataFrame:
 
 def search_allocation(trials: DataFrame) -> DataFrame:
     """family, evaluated, share, rewarded: where the search went and what it found (|t| of at least 1)."""
-    n = F.count("*").over(Window.partitionBy())
-    rows = trials.withColumn("all", n)
-    return rows.groupBy("family").agg(F.count("*").alias("evaluated"), (F.count("*") / F.first("all")).alias("share"), F.count_if(F.abs("ic_t") >= 1).alias("rewarded"))
+    each = trials.groupBy("family").agg(F.count("*").alias("evaluated"), F.count_if(F.abs("ic_t") >= 1).alias("rewarded"))
+    total = each.agg(F.sum("evaluated").alias("all"))  # one row of a row a family
+    return each.join(F.broadcast(total)).select("family", "evaluated", (F.col("evaluated") / F.col("all")).alias("share"), "rewarded")
 
 
 def blocking_gate(counts: dict[str, int]) -> str:

@@ -6,12 +6,15 @@ history, as long as the calendar, is one block. Results equal those of the colum
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import parts, ship
 from .formula import Binary, Call, Field, Minus, Node, canonical, constant
 
 
@@ -24,19 +27,44 @@ def _finite(x: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The last w rows at each row (NaN before the first) with their counts and moments."""
+    """The last w rows at each row (NaN before the first); what is asked of them is computed once."""
 
     def __init__(self, x: np.ndarray, w: int):
-        self.w = w
-        self.v = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(w - 1, np.nan), x]), w)
-        self.ok = ~np.isnan(self.v)
-        self.n = self.ok.sum(axis=1)
+        self.w, self.x = w, x
         self.rows = np.minimum(np.arange(1, len(x) + 1), w)
-        self.sum = np.where(self.ok, self.v, 0.0).sum(axis=1)
-        self.mean = self.sum / self.n
-        self.apart = np.where(self.ok, self.v - self.mean[:, None], 0.0)
-        self.high = np.where(self.ok, self.v, -np.inf).max(axis=1)
-        self.low = np.where(self.ok, self.v, np.inf).min(axis=1)
+
+    @cached_property
+    def v(self) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(self.w - 1, np.nan), self.x]), self.w)
+
+    @cached_property
+    def ok(self) -> np.ndarray:
+        return ~np.isnan(self.v)
+
+    @cached_property
+    def n(self) -> np.ndarray:
+        upto = np.concatenate([np.zeros(self.w, dtype=np.int64), np.cumsum(~np.isnan(self.x))])
+        return upto[self.w :] - upto[: len(self.x)]
+
+    @cached_property
+    def sum(self) -> np.ndarray:
+        return np.where(self.ok, self.v, 0.0).sum(axis=1)
+
+    @cached_property
+    def mean(self) -> np.ndarray:
+        return self.sum / self.n
+
+    @cached_property
+    def apart(self) -> np.ndarray:
+        return np.where(self.ok, self.v - self.mean[:, None], 0.0)
+
+    @cached_property
+    def high(self) -> np.ndarray:
+        return np.where(self.ok, self.v, -np.inf).max(axis=1)
+
+    @cached_property
+    def low(self) -> np.ndarray:
+        return np.where(self.ok, self.v, np.inf).min(axis=1)
 
     def moment(self, k: int) -> np.ndarray:
         return (self.apart**k).sum(axis=1)
@@ -102,22 +130,29 @@ ELEMENT = {
 class Block:
     """Fields of one history in calendar order, and what has been computed of it."""
 
-    def __init__(self, fields: dict[str, np.ndarray]):
+    def __init__(self, fields: dict[str, np.ndarray], keys: dict[int, str] | None = None):
+        self.keys = {} if keys is None else keys  # of nodes by identity, shared by all histories of a task
         self.fields = {k: _finite(v) for k, v in fields.items()}
         self.size = len(next(iter(fields.values())))
         self.done: dict[str, np.ndarray] = {}
         self.windows: dict[tuple[str, int], Windows] = {}
 
+    def key(self, node: Node) -> str:
+        found = self.keys.get(id(node))
+        if found is None:
+            found = self.keys[id(node)] = canonical(node)
+        return found
+
     def value(self, node: Node) -> np.ndarray:
         if (c := constant(node)) is not None:
             return np.full(self.size, float(c))
-        key = canonical(node)
+        key = self.key(node)
         if key not in self.done:
             self.done[key] = self._make(node)
         return self.done[key]
 
     def _windows(self, node: Node, w: int) -> Windows:
-        key = canonical(node), w
+        key = self.key(node), w
         if key not in self.windows:
             self.windows[key] = Windows(_finite(self.value(node)), w)
         return self.windows[key]
@@ -160,12 +195,14 @@ def apply(panel: DataFrame, roots: dict[str, Node], keep: tuple[str, ...], used:
     ship(panel.sparkSession)
     columns = list(dict.fromkeys([*keep, "instrument", "pos", *used]))
     schema = T.StructType([*(panel.schema[c] for c in keep), *(T.StructField(name, T.DoubleType()) for name in roots)])
+    keys: dict[int, str] = {}
 
-    def run(history: pd.DataFrame) -> pd.DataFrame:
-        history = history.sort_values("pos")
+    def run(history: pa.Table) -> pa.Table:
+        history = history.sort_by("pos")
         with np.errstate(all="ignore"):
-            block = Block({f: history[f].to_numpy(dtype=float) for f in used})
-            made = {name: _finite(block.value(root)) for name, root in roots.items()}
-        return pd.concat([history[list(keep)].reset_index(drop=True), pd.DataFrame(made)], axis=1)
+            block = Block({f: history[f].cast(pa.float64()).to_numpy() for f in used}, keys)
+            made = [pa.array(_finite(block.value(root)), from_pandas=True) for root in roots.values()]
+        return pa.Table.from_arrays([*(history[c] for c in keep), *made], [*keep, *roots])
 
-    return panel.select(*columns).groupBy("instrument").applyInPandas(run, schema)
+    # a history costs far more than its bytes, so the exchange keeps its number of tasks
+    return panel.select(*columns).repartition(parts(panel.sparkSession), "instrument").groupBy("instrument").applyInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import written
 from ..sources import panels
 
 
@@ -44,7 +45,8 @@ def dense_sql(panel: str) -> str:
 
 
 def dense(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
-    return panels.densify(getattr(panels, panel)(spark, sf_dir))
+    """A dense panel of bars that are made once: the calendar and the grid read them again."""
+    return panels.densify(written(getattr(panels, panel)(spark, sf_dir), panel))
 
 
 def sql_normal_cdf(x: str) -> str:

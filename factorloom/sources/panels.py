@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FIELDS = ("open", "high", "low", "close", "vwap", "volume", "amount")
-#: A calendar has a row for each bar date, so it is bounded by time; past this it is joined without a hint.
-CALENDAR_ROWS = 100_000
-
+from ..runtime import parts
 
+FIELDS = ("open", "high", "low", "close", "vwap", "volume", "amount")
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,14 +57,21 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 
 def densify(bars: DataFrame) -> DataFrame:
-    """Every instrument on every date of the calendar; absent bars are NULL.
-
-    The grid comes from one row an instrument and the calendar's array, which is as long as there are dates; grid and bars
-    meet in one join by instrument and date."""
-    dates = calendar(bars).agg(F.array_sort(F.collect_list("dt")).alias("dates"))
-    grid = bars.select("instrument").distinct().join(F.broadcast(dates)).select("instrument", F.posexplode("dates").alias("pos", "dt"))
+    """Every instrument on every date of the calendar, dealt by instrument; absent bars are NULL.
+
+    A bar stands for itself and for the empty dates up to the next one, the first also for those before it, so that the
+    grid comes out of one exchange by instrument, which later windows reuse. The calendar, a row a date, is broadcast. The
+    exchange keeps its number of tasks: what follows it costs far more a row than its size tells."""
+    dates = calendar(bars)
+    own = Window.partitionBy("instrument").orderBy("__at")
+    placed = bars.join(F.broadcast(dates.select("dt", F.col("pos").alias("__at"), F.count("*").over(Window.partitionBy()).alias("__n"))), "dt").drop("dt")
+    dealt = placed.repartition(parts(bars.sparkSession), "instrument")
+    first = F.when(F.lag("__at").over(own).isNull(), 0).otherwise(F.col("__at"))
+    last = F.coalesce(F.lead("__at").over(own), F.col("__n").cast("int")) - 1
+    cells = dealt.withColumn("__first", first).withColumn("__last", last).withColumn("pos", F.explode(F.sequence("__first", "__last")))
     fields = [c for c in bars.columns if c not in ("instrument", "dt")]
-    return grid.join(bars, ["instrument", "dt"], "left").select("instrument", "dt", "pos", *fields)
+    here = F.col("pos") == F.col("__at")
+    return cells.join(F.broadcast(dates), "pos").select("instrument", "dt", "pos", *[F.when(here, F.col(c)).alias(c) for c in fields])
 
 
 def members(bars: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -372,3 +373,30 @@ def test_cost_and_decay_verdicts(spark):
     lags = spark.createDataFrame([("x", 0, 4.0), ("x", 1, 2.0), ("x", 5, 1.0), ("y", 0, 1.0), ("z", 0, -1.0), ("z", 2, float("nan")), ("z", 3, -2.0)], "s string, lag int, v double")
     got = {r["s"]: tuple(r)[1:] for r in st.decay_shape(lags, "lag", "v", ["s"]).collect()}
     assert got == {"x": (4.0, 0.6, 1, 5, True), "z": (-1.0, pytest.approx(1 / 3), None, 3, False)}
+
+
+def test_bracketed_quantiles_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    groups = {"wide": rng.normal(size=5000), "tied": rng.integers(0, 4, 3000).astype(float), "two": np.array([1.0, 2.0]), "one": np.array([7.0]), "none": np.array([])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("none", None), ("two", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    at = (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)
+    for accuracy in (10_000, 40):  # wide and narrow brackets
+        monkeypatch.setattr(crosssection, "SKETCH", accuracy)
+        got = {r["g"]: (r["n"], r["q"]) for r in crosssection.exact_quantiles(df, ["g"], "x", at).collect()}
+        for g, x in groups.items():
+            assert got[g][0] == len(x)
+            assert got[g][1] == pytest.approx(np.quantile(x, at).tolist()) if len(x) else not got[g][1]
+
+
+def test_written_tables_are_removed_with_the_application(spark):
+    from factorloom import runtime
+
+    before = list(runtime._made)
+    df = runtime.written(spark.range(5), "test")
+    path = runtime._made[-1][1].removeprefix("file://")
+    assert df.count() == 5 and Path(path).exists()
+    runtime._made[:-1] = []
+    runtime.clean()
+    assert not Path(path).exists()
+    runtime._made[:] = before
