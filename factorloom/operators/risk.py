@@ -49,24 +49,37 @@ def zscored(df: DataFrame, columns: tuple[str, ...] = STYLES) -> DataFrame:
     return df
 
 
+def residuals(df: DataFrame, target: str, names: list[str], least: int) -> DataFrame:
+    """`df` with rest, fit (what a constant and `names` leave and explain of `target` by least squares on each date) and seen
+    (rows of the date that have a target). Columns are made orthogonal one after another by sums over the date, so a
+    column that the ones before determine drops out; where fewer than `least` rows have a target, both are NULL."""
+    day = Window.partitionBy("dt")
+    here = F.col(target).isNotNull()
+    total = lambda x: F.sum(x).over(day)
+    df = df.withColumn("seen", F.count(target).over(day)).withColumn("__y", F.col(target) - F.avg(target).over(day)).withColumn("rest", F.col("__y"))
+    made: list[str] = []
+    for i, name in enumerate(names):
+        x = F.when(here, F.col(name))
+        df = df.withColumn(f"__q{i}", x - F.avg(x).over(day)).withColumn(f"__s{i}", total(F.col(f"__q{i}") * F.col(f"__q{i}")))
+        for q in made:
+            along = F.try_divide(total(F.col(f"__q{i}") * F.col(q)), F.col(q.replace("q", "n")))
+            df = df.withColumn(f"__q{i}", F.col(f"__q{i}") - F.coalesce(along, F.lit(0.0)) * F.col(q))
+        left = total(F.col(f"__q{i}") * F.col(f"__q{i}"))
+        df = df.withColumn(f"__n{i}", F.when(left > 1e-9 * F.col(f"__s{i}"), left))
+        slope = F.try_divide(total(F.col("rest") * F.col(f"__q{i}")), F.col(f"__n{i}"))
+        df = df.withColumn("rest", F.col("rest") - F.coalesce(slope, F.lit(0.0)) * F.col(f"__q{i}"))
+        made.append(f"__q{i}")
+    enough = F.col("seen") >= least
+    out = df.withColumn("fit", F.when(enough, F.col("__y") - F.col("rest"))).withColumn("rest", F.when(enough, F.col("rest")))
+    return out.drop("__y", *made, *(f"__{k}{i}" for i in range(len(names)) for k in "ns"))
+
+
 def neutralise(alpha: DataFrame, styles: tuple[str, ...] = STYLES, least: int = 30) -> DataFrame:
     """instrument, dt, alpha: residual of each date's least squares on a constant and the z_ columns; dates with fewer than
     `least` names, and names without alpha, are returned as they are."""
-    import numpy as np
-    import pandas as pd
-
     names = [f"z_{s}" for s in styles]
-
-    def residual(day: pd.DataFrame) -> pd.DataFrame:
-        out = day[["instrument", "dt", "alpha"]].copy()
-        ok = day["alpha"].notna().to_numpy()
-        if ok.sum() >= least:
-            x = np.column_stack([np.ones(ok.sum()), day.loc[ok, names].to_numpy()])
-            y = day.loc[ok, "alpha"].to_numpy()
-            out.loc[ok, "alpha"] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return out
-
-    return alpha.select("instrument", "dt", "alpha", *names).groupBy("dt").applyInPandas(residual, "instrument string, dt date, alpha double")
+    out = residuals(alpha.select("instrument", "dt", "alpha", *names), "alpha", names, least)
+    return out.select("instrument", "dt", F.coalesce("rest", "alpha").alias("alpha"))
 
 
 def neutralise_one(alpha: DataFrame, style: str = "z_beta") -> DataFrame:
@@ -88,20 +101,10 @@ def specific_volatility(exposed: DataFrame, window: int = 60) -> DataFrame:
 
 def crowding(exposed: DataFrame, target: str = "turnover", styles: tuple[str, ...] = ("beta", "size", "volatility", "momentum"), least: int = 50, smooth: int = 20) -> DataFrame:
     """dt, r2, smoothed: how much of a date's cross-section of `target` the styles explain, and its trailing mean."""
-    import numpy as np
-    import pandas as pd
-
     names = [f"z_{s}" for s in styles]
-
-    def fit(day: pd.DataFrame) -> pd.DataFrame:
-        d = day.dropna(subset=[target])
-        if len(d) < least or d[target].std() == 0:
-            return pd.DataFrame({"dt": day["dt"].iloc[:1], "r2": [np.nan]})
-        x, y = np.column_stack([np.ones(len(d)), d[names].to_numpy()]), d[target].to_numpy()
-        left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return pd.DataFrame({"dt": d["dt"].iloc[:1], "r2": [1 - (left**2).sum() / ((y - y.mean()) ** 2).sum()]})
-
-    r2 = exposed.select("dt", target, *names).groupBy("dt").applyInPandas(fit, "dt date, r2 double").withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
+    rows = residuals(exposed.select("dt", target, *names), target, names, least)
+    whole = F.var_pop(target)
+    r2 = rows.groupBy("dt").agg(F.when((F.max("seen") >= least) & (whole > 0), 1 - F.try_divide(F.avg(F.col("rest") * F.col("rest")), F.when(whole > 0, whole))).alias("r2"))
     over = Window.orderBy("dt").rowsBetween(-(smooth - 1), 0)  # one row a date
     return r2.withColumn("smoothed", F.when(F.count("r2").over(over) == smooth, F.avg("r2").over(over)))
 

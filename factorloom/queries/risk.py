@@ -58,10 +58,22 @@ def neutralise_one(spark, sf_dir):
     return risk.neutralise_one(z).withColumn("alpha", rounded(F.col("alpha"), 5))
 
 
-@query("neutralise")
+def _fit_sql(target: str, names: tuple[str, ...]) -> str:
+    """CTEs up to o (instrument, dt, y, rest, n): the normal equations' residual by orthogonal columns of each date."""
+    z = {k: f"coalesce(greatest(least(({k} - avg({k}) OVER (PARTITION BY dt)) / nullif(stddev_samp({k}) OVER (PARTITION BY dt), 0), 3), -3), 0)" for k in names}
+    ctes = [f"{_Z}, o0 AS (SELECT instrument, dt, {target} AS y, {', '.join(f'{v} AS z{i}' for i, v in enumerate(z.values()))} FROM e)"]
+    ctes.append(f"a0 AS (SELECT instrument, dt, y, count(y) OVER d AS n, y - avg(y) OVER d AS rest, {', '.join(f'CASE WHEN y IS NOT NULL THEN z{i} - avg(CASE WHEN y IS NOT NULL THEN z{i} END) OVER d END AS q{i}' for i in range(len(names)))} FROM o0 WINDOW d AS (PARTITION BY dt))")
+    for i in range(len(names)):
+        share = lambda x: f"coalesce(sum({x} * q{i}) OVER d / nullif(CASE WHEN sum(q{i} * q{i}) OVER d > 1e-9 THEN sum(q{i} * q{i}) OVER d END, 0), 0) * q{i}"  # noqa: E731, B023
+        later = [f"q{j} - {share(f'q{j}')} AS q{j}" for j in range(i + 1, len(names))]
+        ctes.append(f"a{i + 1} AS (SELECT instrument, dt, y, n, rest - {share('rest')} AS rest{''.join(', ' + x for x in later)} FROM a{i} WINDOW d AS (PARTITION BY dt))")
+    return ", ".join(ctes)
+
+
+@query("neutralise", f"{_fit_sql('momentum', tuple(_STYLE))} SELECT instrument, dt, {sql_round('CASE WHEN n >= 30 AND y IS NOT NULL THEN rest ELSE y END', 5)} AS alpha FROM a5")
 def neutralise(spark, sf_dir):
-    """Least squares on all styles by date; the one-style form is checked by neutralise_one."""
-    return risk.neutralise(risk.zscored(exposed(spark, sf_dir)).withColumn("alpha", F.col("momentum")))
+    """Least squares on all styles by date."""
+    return risk.neutralise(risk.zscored(exposed(spark, sf_dir)).withColumn("alpha", F.col("momentum"))).withColumn("alpha", rounded(F.col("alpha"), 5))
 
 
 @query("specific_vol", f"{_Z}, s AS (SELECT instrument, dt, pos, ret - beta * bench AS rest FROM z) SELECT instrument, dt, {sql_round(_full('rest', 4, 'stddev_samp(rest) OVER {o}'), 5)} AS specific FROM s")
@@ -69,10 +81,14 @@ def specific_vol(spark, sf_dir):
     return risk.specific_volatility(exposed(spark, sf_dir), 4).withColumn("specific", rounded(F.col("specific"), 5))
 
 
-@query("crowding_r2")
+@query(
+    "crowding_r2",
+    f"""{_fit_sql('turnover', tuple(_STYLE)[:4])}, r2 AS (SELECT dt, CASE WHEN max(n) >= 50 AND var_pop(y) > 0 THEN 1 - avg(rest * rest) / nullif(var_pop(y), 0) END AS r2 FROM a4 GROUP BY dt)
+SELECT dt, {sql_round('r2', 5)} AS r2, {sql_round('CASE WHEN count(r2) OVER w = 5 THEN avg(r2) OVER w END', 5)} AS smoothed FROM r2 WINDOW w AS (ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+)
 def crowding_r2(spark, sf_dir):
-    """Least squares by date; no SQL."""
-    return risk.crowding(risk.zscored(exposed(spark, sf_dir)), smooth=5)
+    """How much of turnover the styles explain by date."""
+    return risk.crowding(risk.zscored(exposed(spark, sf_dir)), smooth=5).select("dt", rounded(F.col("r2"), 5).alias("r2"), rounded(F.col("smoothed"), 5).alias("smoothed"))
 
 
 _REGIME = f"""{_BASE}, g AS (SELECT dt, b, bench AS ret, CASE WHEN count(b) OVER t = 20 THEN avg(b) OVER t END AS m, CASE WHEN count(bench) OVER v = 10 THEN stddev_samp(bench) OVER v END AS sd FROM br WINDOW t AS (ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), v AS (ORDER BY dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
