@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .queries import bars, books, crosssection, derivatives, elements, pit, records, risk, rolling, statistics, stream, studies  # noqa: E402, F401
+from .queries import bars, books, crosssection, derivatives, elements, library, pit, records, risk, rolling, statistics, stream, studies  # noqa: E402, F401

@@ -44,14 +44,6 @@ def horizon_ensemble(spark, sf_dir):
     return models.rank_average(long).withColumn("score", rounded(F.col("score"), 6))
 
 
-@query("hierarchy")
-def hierarchy(spark, sf_dir):
-    """Families against the number of families; no SQL: normal distribution."""
-    families = spark.createDataFrame([("momentum", "price", 1), ("range", "price", -1), ("size", "size", -1)], "factor string, family string, sign int")
-    many = values(spark, sf_dir)
-    return studies.hierarchy(many.unionByName(many.where("factor = 'size'").withColumn("factor", F.lit("size2"))), families.withColumn("family", F.lit("price")).unionByName(spark.createDataFrame([("size2", "price", -1)], families.schema)))
-
-
 def _signed(rank_or_z: str) -> str:
     """Mean of the two factors with sign -1 of (factor, instrument, pos, x)."""
     return f"SELECT instrument, pos, avg(-({rank_or_z})) AS score FROM {{rows}} GROUP BY 1, 2"
