@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -11,33 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-
-_local: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="factorloom-shared-"))
-    return "file://" + _local[0]
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/factorloom/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that no returned plan reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+from ..runtime import parts, remove, scratch, ship, shared_root
 
 def save(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: later reads survive a lost executor."""
@@ -51,10 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def crc32_of_id(column: str | Column) -> Column:
     """crc32 of an id's decimal text; a null id counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column
