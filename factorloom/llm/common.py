@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import parts, remove, scratch, ship, shared_root
 
+
 def save(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: later reads survive a lost executor."""
     spark = df.sparkSession
@@ -19,6 +23,23 @@ def save(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _tidy() -> None:
+    """Give memory that a task no longer uses back to the system: workers outlive tasks, and stages follow one another."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function over Arrow batches, which tidies up behind itself."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _tidy()
+
+    return tidy
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -104,4 +125,4 @@ def batch(ddl: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["LOWEST", "ROW_KEY", "Ranges", "arrow", "batch", "crc32_of_id", "parts", "remove", "ranges", "row_key", "save", "scratch", "shared_root", "ship", "table"]
+__all__ = ["LOWEST", "ROW_KEY", "Ranges", "arrow", "batch", "crc32_of_id", "parts", "remove", "ranges", "row_key", "save", "scratch", "shared_root", "ship", "table", "tidied"]

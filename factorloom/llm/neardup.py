@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed, _ = common.save(rows.mapInArrow(_sign(width, band_count(numerator / denominator)), SIGNED_SCHEMA), "signed")
+    signed, _ = common.save(rows.mapInArrow(common.tidied(_sign(width, band_count(numerator / denominator))), SIGNED_SCHEMA), "signed")
     first = F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "bands", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     one = signed.where("n_shingles > 0").groupBy("set_key").agg(first.alias("f")).select("set_key", "f.*")
     classes, _ = common.save(one.withColumn("node", F.monotonically_increasing_id()), "classes")

@@ -29,6 +29,7 @@ MOST_IN_PATTERN = 8
 SECOND_CHOICES = 12
 ITERATIONS = 300
 ROUNDS = 6
+CACHED_SEGMENTS = 150_000  # bounds a worker's memory, not what is encoded
 LEAST_PART = 1e-3  # parts of a count below this are taken for zero
 
 CHUNKS_SCHEMA = (
@@ -196,7 +197,7 @@ class Plan:
 
 def _cut(path: str, special: bool, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, special)
+        enc = encoder(path, special, CACHED_SEGMENTS)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
@@ -239,7 +240,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks, _ = common.save(rows.mapInArrow(_cut(tokenizer_path, special, end_id, capacity), CHUNKS_SCHEMA), "pieces")
+    chunks, _ = common.save(rows.mapInArrow(common.tidied(_cut(tokenizer_path, special, end_id, capacity)), CHUNKS_SCHEMA), "pieces")
     counted = chunks.where(F.size("lengths") > 0).select("part", F.explode(F.arrays_zip("lengths", "counts")).alias("c")).select("part", F.col("c.lengths").alias("length"), F.col("c.counts").alias("n"))
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows

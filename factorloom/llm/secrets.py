@@ -108,7 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(owner_col, repository_col).alias("repository"), F.col(text_col).alias("text")
     )
-    found, _ = common.save(rows.mapInArrow(_scan, FOUND_SCHEMA), "secrets")
+    found, _ = common.save(rows.mapInArrow(common.tidied(_scan), FOUND_SCHEMA), "secrets")
     spans = found.where(F.size("kinds") > 0).select("uid", "owner", "repository", F.posexplode(F.arrays_zip("kinds", "starts", "ends", "hashes", "varied")).alias("at", "s")).select("uid", "owner", "repository", "s.*")
     owned = (
         spans.groupBy("hashes", "owner", "repository")

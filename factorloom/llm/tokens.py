@@ -136,6 +136,6 @@ class SegmentEncoder:
 
 
 @lru_cache(4)
-def encoder(path: str, special: bool = False) -> SegmentEncoder:
-    """One encoder for each worker process, vocabulary file and treatment of special tokens."""
-    return SegmentEncoder(path, special)
+def encoder(path: str, special: bool = False, limit: int = 400_000) -> SegmentEncoder:
+    """One encoder for each worker process, vocabulary file, treatment of special tokens and size of caches."""
+    return SegmentEncoder(path, special, limit)
