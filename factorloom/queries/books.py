@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..catalog import ORACLES, query
@@ -130,23 +128,21 @@ def sanity(spark, sf_dir):
 
 @query(
     "metrics",
-    f"""{_BASE}, s AS (SELECT instrument AS run, dt, ret, coalesce(bench, 0) AS bench FROM r WHERE ret IS NOT NULL AND instrument IN ('1', '2', '3', '4')),
+    f"""{_BASE}, s AS (SELECT instrument AS run, dt, ret, coalesce(bench, 0) AS bench FROM r WHERE ret IS NOT NULL),
 w AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY run ORDER BY dt) AS lw FROM s), m AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY run ORDER BY dt)) - 1 AS down FROM w)
 SELECT run, count(*) AS n_days, {sql_round('exp(sum(ln(1 + ret)) * 52 / count(*)) - 1', 5)} AS cagr, {sql_round('stddev_samp(ret) * sqrt(52)', 6)} AS vol, {sql_round('avg(ret) / stddev_samp(ret) * sqrt(52)', 6)} AS sharpe, {sql_round('min(down)', 6)} AS max_dd,
 {sql_round('avg(ret - bench) * 52', 6)} AS excess_ann, {sql_round('avg(ret - bench) / stddev_samp(ret - bench) * sqrt(52)', 6)} AS info_ratio FROM m GROUP BY run""",
 )
-def metrics(spark, sf_dir, names=("1", "2", "3", "4")):
-    """The SQL takes four suppliers; `metrics_all` takes every supplier as a run."""
+def metrics(spark, sf_dir):
+    """Every supplier is a run."""
     from ..operators.risk import returns
 
     daily = returns(dense(spark, sf_dir, "supp_week")).where("ret is not null").select(F.col("instrument").alias("run"), "dt", "ret")
-    if names:
-        daily = daily.where(F.col("run").isin(*names))
     out = books.metrics(daily, _bench(spark, sf_dir), 52)
     return out.select("run", "n_days", *[rounded(F.col(c), k).alias(c) for c, k in (("cagr", 5), ("vol", 6), ("sharpe", 6), ("max_dd", 6), ("excess_ann", 6), ("info_ratio", 6))])
 
 
-query("metrics_all", ORACLES["metrics"].replace(" AND instrument IN ('1', '2', '3', '4')", ""))(partial(metrics, names=None))
+query("metrics_all", ORACLES["metrics"])(metrics)
 
 
 @query("impact", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {sql_round('10.0 * sqrt(100 * least(abs(l_extendedprice) / nullif(l_quantity * 20000, 0), 1))', 5)} AS bp FROM lineitem")

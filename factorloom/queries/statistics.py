@@ -12,14 +12,9 @@ from ..operators.risk import returns
 from .base import dense, dense_sql, rounded, sql_deflated, sql_round
 from .crosssection import _CORR, _FACTOR_SQL, _PCT, _RANKED
 
-#: The SQL of eight queries takes eight suppliers as strategies; their `_all` forms at the end take every supplier.
-_NAMES = [str(i) for i in range(1, 9)]
-_LIST = ", ".join(f"'{n}'" for n in _NAMES)
+#: Every supplier is a strategy.
 _RET_SQL = f"""{dense_sql('supp_week')}, a AS (SELECT instrument AS strategy, dt AS t, close / lag(close, 1) OVER (PARTITION BY instrument ORDER BY pos) - 1 AS ret FROM d),
-s AS (SELECT * FROM a WHERE strategy IN ({_LIST}) AND ret IS NOT NULL)"""
-
-
-_ALL_SQL = _RET_SQL.replace(f"strategy IN ({_LIST}) AND ", "")
+s AS (SELECT * FROM a WHERE ret IS NOT NULL)"""
 
 
 def all_strategies(spark, sf_dir):
@@ -27,15 +22,11 @@ def all_strategies(spark, sf_dir):
     return r.select(F.col("instrument").alias("strategy"), F.col("dt").alias("t"), "ret").where("ret is not null")
 
 
-def strategies(spark, sf_dir):
-    return all_strategies(spark, sf_dir).where(F.col("strategy").isin(_NAMES))
-
-
 @query(
     "tstat_sharpe",
     f"{_RET_SQL} SELECT strategy, {sql_round('avg(ret) / (stddev_samp(ret) / sqrt(count(ret)))', 6)} AS t, {sql_round('avg(ret) / stddev_samp(ret) * sqrt(52)', 6)} AS sharpe FROM s GROUP BY strategy",
 )
-def tstat_sharpe(spark, sf_dir, of=strategies):
+def tstat_sharpe(spark, sf_dir, of=all_strategies):
     return of(spark, sf_dir).groupBy("strategy").agg(rounded(st.tstat(F.col("ret")), 6).alias("t"), rounded(st.sharpe(F.col("ret"), 52), 6).alias("sharpe"))
 
 
@@ -44,11 +35,11 @@ def tstat_sharpe(spark, sf_dir, of=strategies):
     f"""{_RET_SQL}, m AS (SELECT *, ret - avg(ret) OVER (PARTITION BY strategy) AS e FROM s)
 SELECT strategy, count(*) AS n, {sql_round('avg(ret)', 6)} AS mean, {sql_round('stddev_samp(ret)', 6)} AS sd, {sql_round('avg(e*e*e) / pow(avg(e*e), 1.5)', 5)} AS skew, {sql_round('avg(e*e*e*e) / pow(avg(e*e), 2)', 5)} AS kurt FROM m GROUP BY strategy""",
 )
-def moments_for_dsr(spark, sf_dir, of=strategies):
+def moments_for_dsr(spark, sf_dir, of=all_strategies):
     return st.moments(of(spark, sf_dir)).select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("mean", 6), ("sd", 6), ("skew", 5), ("kurt", 5))])
 
 
-@query("deflated_sharpe", f"{_ALL_SQL}, {sql_deflated('s')} SELECT strategy, n, {sql_round('sharpe', 6)} AS sharpe, {sql_round('hurdle', 6)} AS hurdle, {sql_round('dsr', 5)} AS dsr FROM ds")
+@query("deflated_sharpe", f"{_RET_SQL}, {sql_deflated('s')} SELECT strategy, n, {sql_round('sharpe', 6)} AS sharpe, {sql_round('hurdle', 6)} AS hurdle, {sql_round('dsr', 5)} AS dsr FROM ds")
 def deflated_sharpe(spark, sf_dir):
     out = st.deflated_sharpe(all_strategies(spark, sf_dir))
     return out.select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("sharpe", 6), ("hurdle", 6), ("dsr", 5))])
@@ -58,12 +49,12 @@ def deflated_sharpe(spark, sf_dir):
     "nonoverlap",
     f"{_RET_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY t) - 1 AS k FROM s) SELECT strategy, t, {sql_round('ret', 6)} AS ret FROM k WHERE k % 5 = 0",
 )
-def nonoverlap(spark, sf_dir, of=strategies):
+def nonoverlap(spark, sf_dir, of=all_strategies):
     return st.nonoverlapping(of(spark, sf_dir), 5, ["strategy"], "t").withColumn("ret", rounded(F.col("ret"), 6))
 
 
 @query("autocorr", f"{_RET_SQL}, b AS (SELECT strategy, ret, lag(ret) OVER (PARTITION BY strategy ORDER BY t) AS b FROM s) SELECT strategy, {sql_round('corr(ret, b)', 6)} AS rho FROM b WHERE b IS NOT NULL GROUP BY strategy")
-def autocorr(spark, sf_dir, of=strategies):
+def autocorr(spark, sf_dir, of=all_strategies):
     return st.autocorrelation(of(spark, sf_dir)).withColumn("rho", rounded(F.col("rho"), 6))
 
 
@@ -74,12 +65,12 @@ p AS (SELECT strategy, m, ret - m AS e, lag(ret - m, 1) OVER o AS e1, lag(ret -
 g AS (SELECT strategy, count(*) AS n, first(m) AS mean, (sum(e*e) + 2 * (0.75 * sum(e*e1) + 0.5 * sum(e*e2) + 0.25 * sum(e*e3))) / count(*) AS lr FROM p GROUP BY strategy)
 SELECT strategy, n, {sql_round('mean', 6)} AS mean, {sql_round('CASE WHEN lr > 0 THEN mean / sqrt(lr / n) END', 5)} AS t_nw FROM g""",
 )
-def newey_west(spark, sf_dir, of=strategies):
+def newey_west(spark, sf_dir, of=all_strategies):
     return st.newey_west(of(spark, sf_dir), 3).select("strategy", "n", rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("t_nw"), 5).alias("t_nw"))
 
 
 @query("effective_breadth_pairs", f"{_RET_SQL} SELECT x.strategy AS a, y.strategy AS b, {sql_round('corr(x.ret, y.ret)', 6)} AS corr FROM s x JOIN s y ON x.t = y.t AND x.strategy < y.strategy GROUP BY 1, 2")
-def effective_breadth_pairs(spark, sf_dir, of=strategies):
+def effective_breadth_pairs(spark, sf_dir, of=all_strategies):
     return st.pair_correlations(of(spark, sf_dir)).withColumn("corr", rounded(F.col("corr"), 6))
 
 
@@ -88,7 +79,7 @@ def effective_breadth_pairs(spark, sf_dir, of=strategies):
     f"""{_RET_SQL} SELECT strategy, count(*) AS n, {sql_round('avg(ret)', 6)} AS mean, {sql_round('CASE WHEN min(ret) > -1 THEN avg(ln(1 + ret)) END', 6)} AS log_growth,
 {sql_round('CASE WHEN min(ret) > -1 THEN exp(avg(ln(1 + ret))) - 1 END', 6)} AS geometric, {sql_round('skewness(ret)', 5)} AS skew, min(ret) <= -1 AS ruined FROM s GROUP BY strategy""",
 )
-def log_wealth(spark, sf_dir, of=strategies):
+def log_wealth(spark, sf_dir, of=all_strategies):
     out = st.log_wealth(of(spark, sf_dir))
     return out.select("strategy", "n", *[rounded(F.col(c), k).alias(c) for c, k in (("mean", 6), ("log_growth", 6), ("geometric", 6), ("skew", 5))], "ruined")
 
@@ -102,12 +93,12 @@ p AS (SELECT x.strategy, x.c + y.c AS c, x.s + y.s AS s, x.ss + y.ss AS ss FROM
 q AS (SELECT strategy, (s / c) / sqrt((ss - s * s / c) / (c - 1)) * sqrt(52) AS r FROM p)
 SELECT strategy, count(r) AS paths, {sql_round('quantile_cont(r, 0.05::DOUBLE)', 5)} AS p05, {sql_round('quantile_cont(r, 0.5::DOUBLE)', 5)} AS p50, {sql_round('quantile_cont(r, 0.95::DOUBLE)', 5)} AS p95, {sql_round('avg(CAST(r < 0 AS INT))', 6)} AS p_negative FROM q GROUP BY strategy""",
 )
-def cpcv(spark, sf_dir, of=strategies):
+def cpcv(spark, sf_dir, of=all_strategies):
     out = st.cpcv(of(spark, sf_dir), periods=52)
     return out.select("strategy", "paths", *[rounded(F.col(c), k).alias(c) for c, k in (("p05", 5), ("p50", 5), ("p95", 5), ("p_negative", 6))])
 
 
-_PBO = f"""{_ALL_SQL}, nr AS (SELECT s_nationkey AS strategy, t, avg(ret) AS ret FROM s JOIN supplier ON CAST(s_suppkey AS VARCHAR) = s.strategy GROUP BY 1, 2),
+_PBO = f"""{_RET_SQL}, nr AS (SELECT s_nationkey AS strategy, t, avg(ret) AS ret FROM s JOIN supplier ON CAST(s_suppkey AS VARCHAR) = s.strategy GROUP BY 1, 2),
 cv AS (SELECT strategy FROM nr GROUP BY strategy HAVING count(*) >= floor(0.8 * (SELECT count(DISTINCT t) FROM nr))), gd AS (SELECT nr.* FROM nr JOIN cv USING (strategy)),
 wh AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k, count(*) OVER () AS n FROM (SELECT t FROM gd GROUP BY t HAVING count(*) = (SELECT count(*) FROM cv))),
 bl AS (SELECT strategy, k // (n // 8) AS b, count(*) AS c, sum(ret) AS s, sum(ret * ret) AS q FROM gd JOIN wh USING (t) WHERE k // (n // 8) < 8 GROUP BY 1, 2),
@@ -131,7 +122,7 @@ def overfitting_probability(spark, sf_dir):
 
 @query(
     "average_correlation",
-    f"""{_ALL_SQL}, en AS (SELECT strategy FROM s GROUP BY strategy HAVING count(*) >= 30 AND stddev_samp(ret) > 0), kp AS (SELECT s.* FROM s JOIN en USING (strategy)),
+    f"""{_RET_SQL}, en AS (SELECT strategy FROM s GROUP BY strategy HAVING count(*) >= 30 AND stddev_samp(ret) > 0), kp AS (SELECT s.* FROM s JOIN en USING (strategy)),
 pr AS (SELECT x.strategy AS a, y.strategy AS b, corr(x.ret, y.ret) AS c FROM kp x JOIN kp y ON x.t = y.t AND x.strategy < y.strategy GROUP BY 1, 2),
 av AS (SELECT (SELECT count(DISTINCT k) FROM (SELECT a AS k FROM pr UNION ALL SELECT b FROM pr)) AS n, sum(abs(CASE WHEN isnan(c) THEN 0 ELSE coalesce(c, 0) END)) AS total FROM pr)
 SELECT n AS n_raw, {sql_round('total / (n * (n - 1) / 2)', 5)} AS mean_abs_corr, {sql_round('n / (1 + (n - 1) * total / (n * (n - 1) / 2))', 4)} AS n_eff_avg_corr FROM av""",
@@ -197,5 +188,6 @@ def lag_decay_shape(spark, sf_dir):
     return out.select("factor", rounded(F.col("base"), 6).alias("base"), rounded(F.col("per_step"), 6).alias("per_step"), "half_life", "worst", "race")
 
 
+#: Further names of queries over every supplier.
 for _f in (tstat_sharpe, moments_for_dsr, nonoverlap, autocorr, newey_west, effective_breadth_pairs, log_wealth, cpcv):
-    query(f"{_f.__name__}_all", ORACLES[_f.__name__].replace(_RET_SQL, _ALL_SQL))(partial(_f, of=all_strategies))
+    query(f"{_f.__name__}_all", ORACLES[_f.__name__])(partial(_f, of=all_strategies))
