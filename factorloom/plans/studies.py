@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import books
 from ..operators import crosssection as xs
 from ..operators import records as rec
+from ..operators import risk
 from ..operators import statistics as st
+from ..runtime import written
 from . import compiler
 from . import formula as fm
 
@@ -91,6 +93,42 @@ def audit(panel: DataFrame, bench: DataFrame, formulas: dict[str, tuple[str, int
     return books.metrics(books.backtest(rows, runs, horizon, topk, keep_rank, costs, limits), bench)
 
 
+TRIAL_BOOKS = {
+    "naive": (False, books.Book(band=0.0)),
+    "banded": (False, books.Book()),
+    "neutralised": (True, books.Book()),
+    "risk_scaled": (True, books.Book(risk_scaled=True)),
+    "long_short": (False, books.Book(mode="market_neutral")),
+    "long_short_full": (True, books.Book(mode="market_neutral", risk_scaled=True)),
+}
+
+
+def portfolio_trial(scores: DataFrame, panel: DataFrame, bench: DataFrame, exposed: DataFrame, y: DataFrame, horizon: int, costs: books.Costs = books.Costs(), capitals: tuple[float, ...] = (1e5, 1e6, 1e7, 1e8, 1e9, 1e10), risk_window: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Six books of one score (instrument, dt, score), each adding a refinement: bands, a score without styles, weights that
+    fall with specific risk, a short leg.
+
+    First: the books' metrics and frictions, with headline (information ratio of a long-only book, Sharpe ratio of a neutral
+    one, whose benchmark is cash) and best. Second, one row: ic_raw, ic_neutral and style_share of the score against
+    y (instrument, dt, y), and the score's correlation with four styles. Third: the best book at several capitals. exposed:
+    the rows of `risk.exposures`."""
+    z = risk.zscored(exposed.join(scores.select("instrument", "dt", F.col("score").alias("alpha")), ["instrument", "dt"]))
+    clean = written(risk.neutralise(z).where("alpha is not null").withColumnRenamed("alpha", "score"), "neutral-scores")
+    specific = risk.specific_volatility(exposed, risk_window)
+    rows = {False: books.inputs(scores, panel), True: books.inputs(clean, panel)}
+    parts = [books.portfolio(rows[n], {k: b for k, (m, b) in TRIAL_BOOKS.items() if m == n}, horizon, costs, risk=specific) for n in rows]
+    neutral = F.col("run").isin([k for k, (_, b) in TRIAL_BOOKS.items() if b.mode != "long_only"])
+    table = books.judged(parts[0].unionByName(parts[1]), bench, horizon).withColumn("headline", F.when(neutral, F.col("sharpe")).otherwise(F.col("info_ratio")))
+    table = written(table, "trial-books")
+    best = table.orderBy(F.desc_nulls_last("headline"), "run").first()["run"]  # of six rows
+    cleaned, book = TRIAL_BOOKS[best]
+    values = scores.select("instrument", "dt", F.lit("raw").alias("factor"), F.col("score").alias("value")).unionByName(clean.select("instrument", "dt", F.lit("neutral").alias("factor"), F.col("score").alias("value")))
+    mean = lambda f: F.avg(F.when(F.col("factor") == f, F.col("rank_ic")))
+    ic = xs.rank_ic(values.join(y, ["instrument", "dt"]), least=2).agg(mean("raw").alias("ic_raw"), mean("neutral").alias("ic_neutral"))
+    near = z.agg(*[F.corr("alpha", s).alias(f"corr_{s}") for s in ("beta", "size", "volatility", "momentum")])
+    style = ic.withColumn("style_share", 1 - F.try_divide("ic_neutral", "ic_raw")).crossJoin(F.broadcast(near))  # a row each
+    return table.withColumn("best", F.col("run") == best), style, books.capacity(rows[cleaned], book, list(capitals), horizon, costs, bench, specific)
+
+
 def validate(daily: DataFrame, bench: DataFrame, tweaks: int, trials: int) -> dict:
     """The corrections of a finished strategy's daily returns (run, dt, ret): cross-validated Sharpe distribution, discount for
     tweaks, log wealth, deflated probability."""

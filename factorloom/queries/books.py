@@ -113,6 +113,34 @@ def capacity(spark, sf_dir):
     return books.capacity(_inputs(spark, sf_dir), books.Book(topk=10, max_weight=0.2), [1e4, 1e5, 1e6], 4, _COSTS, _bench(spark, sf_dir))
 
 
+def _trial(spark, sf_dir):
+    from ..operators import risk
+    from ..plans import studies
+
+    panel = dense(spark, sf_dir, "supp_week")
+    closes = panels.benchmark(panels.supp_week(spark, sf_dir))
+    score = compiler.evaluate(panel, {"score": "-($close/Ref($close,1)-1)"})
+    y = panel.select("instrument", "dt", compiler.label(F.col("close"), _HORIZON).alias("y"))
+    exposed = risk.exposures(panel, closes, beta=8, size=4, vol=6, slow=8, fast=4)
+    return studies.portfolio_trial(score, panel, books.benchmark_returns(closes), exposed, y, _HORIZON, _COSTS, risk_window=4)
+
+
+@query("portfolio_trial")
+def portfolio_trial(spark, sf_dir):
+    """Six weighted books by recursion with caps and bands; no SQL."""
+    return _trial(spark, sf_dir)[0]
+
+
+@query("portfolio_trial_style")
+def portfolio_trial_style(spark, sf_dir):
+    return _trial(spark, sf_dir)[1]
+
+
+@query("portfolio_trial_capacity")
+def portfolio_trial_capacity(spark, sf_dir):
+    return _trial(spark, sf_dir)[2]
+
+
 _SANITY = f"""og AS (SELECT instrument, pos, ret, CASE WHEN lead(ret, {_HORIZON + 1}) OVER o IS NOT NULL THEN sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER (o ROWS BETWEEN 2 FOLLOWING AND {_HORIZON + 1} FOLLOWING) END AS oracle FROM rt WINDOW o AS (PARTITION BY instrument ORDER BY pos)),
 sc AS (SELECT 'oracle' AS score_of, instrument, pos, oracle AS score FROM og UNION ALL SELECT 'random', instrument, pos, CASE WHEN ret IS NOT NULL THEN CAST(('0x' || substr(md5('5:' || instrument || ':' || pos), 1, 8)) AS BIGINT)::DOUBLE END FROM og
   UNION ALL SELECT 'stale', instrument, pos, lag(oracle, {4 * _HORIZON}) OVER (PARTITION BY instrument ORDER BY pos) FROM og)"""
