@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,4 +126,14 @@ def batch(ddl: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-__all__ = ["LOWEST", "ROW_KEY", "Ranges", "arrow", "batch", "crc32_of_id", "parts", "remove", "ranges", "row_key", "save", "scratch", "shared_root", "ship", "table", "tidied"]
+def chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of consecutive stretches of a column of at most `most` bytes, or of one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi - lo
+        lo = hi
+
+
+__all__ = ["LOWEST", "ROW_KEY", "Ranges", "arrow", "batch", "chunks", "crc32_of_id", "parts", "remove", "ranges", "row_key", "save", "scratch", "shared_root", "ship", "table", "tidied"]

@@ -29,6 +29,8 @@ PRECISION = 20
 LOW = 31
 CHECK_STEPS = 256
 BLOCK_IDS = 1 << 18
+#: Texts that are tokenised at once; a longer one is whole and alone.
+CHUNK_BYTES = 1 << 23
 MAX_LANES = 1024
 
 TOKENS_SCHEMA = "kind int, shard int, doc_id long, tie long, n_ids long, ids binary"
@@ -166,14 +168,13 @@ def _tokenise(path: str, special: bool, end_id: int, ranges: common.Ranges):
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
             ids, ties, texts = (batch.column(i) for i in range(3))
-            for lo in range(0, batch.num_rows, 500):
-                part = texts.slice(lo, 500).to_pylist()
-                keys = ids.slice(lo, 500)
-                shard = ranges.of(keys.fill_null(common.LOWEST).to_numpy(), ties.slice(lo, 500).to_numpy())
-                raws = [enc.raw(t) + end for t in part]
+            for lo, rows in common.chunks(texts, CHUNK_BYTES):
+                keys, tie = ids.slice(lo, rows), ties.slice(lo, rows)
+                shard = ranges.of(keys.fill_null(common.LOWEST).to_numpy(), tie.to_numpy())
+                raws = enc.raws(texts.slice(lo, rows), end)
                 counts += np.bincount(np.frombuffer(b"".join(raws), dtype=enc.dtype), minlength=len(counts))
                 n = [len(r) // enc.dtype.itemsize for r in raws]
-                yield common.batch(TOKENS_SCHEMA, [0] * len(n), shard, keys, ties.slice(lo, 500), n, [_compress(r) for r in raws])
+                yield common.batch(TOKENS_SCHEMA, [0] * len(n), shard, keys, tie, n, [_compress(r) for r in raws])
         seen = np.flatnonzero(counts)
         if len(seen):
             packed = np.stack([seen, counts[seen]]).astype("<i8").tobytes()

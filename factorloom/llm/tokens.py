@@ -14,6 +14,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _AFTER_SPACE = re.compile(r"\s ")
 #: Runs that the standard patterns keep apart whatever Unicode version they use; apostrophes are left to the library.
@@ -28,6 +30,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The segments between spaces of all texts: where each text's begin (and the last's end), codes, and what these stand for."""
+    parts = pc.split_pattern(texts, " ")
+    coded = parts.flatten().dictionary_encode()
+    return parts.offsets.to_numpy(), coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+
+
 class SegmentEncoder:
     """ids(text): the token ids of a whole text as an array. With `special`, the strings of special tokens in a text become
     those tokens, as the library does by default; without, they are ordinary text. `limit` bounds each of the two
@@ -49,6 +58,7 @@ class SegmentEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         model = self.tok.model
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # the caches here replace the model's own
@@ -109,11 +119,15 @@ class SegmentEncoder:
         self.young[segment] = found
         return found
 
+    def _uncut(self, text: str) -> bool:
+        """Whether a text has to be encoded whole."""
+        return self.mode == "whole" or any(x in text for x in self.added) or (self.mode == "spaced" and _AFTER_SPACE.search(text) is not None)
+
     def raw(self, text: str | None) -> bytes:
         """The ids as little-endian bytes of `dtype`."""
         if not text:
             return b""
-        if self.mode == "whole" or any(x in text for x in self.added) or (self.mode == "spaced" and _AFTER_SPACE.search(text)):
+        if self._uncut(text):
             return self._whole(text)
         segments = text.split(" ")
         head = b""
@@ -131,6 +145,56 @@ class SegmentEncoder:
                     out[i] = young.get(s) or miss(s)
         return head + b"".join(out)
 
+    def _shared(self, run: str) -> bytes:
+        """Ids of a run from two generations of runs."""
+        found = self.runs.get(run)
+        if found is None:
+            found = self.runs[run] = self.older.get(run) or self._model(run)
+        return found
+
+    def _joined(self, segment: str, space: str) -> bytes:
+        """Ids of a segment of a "spaced" text after `space`, which is empty before a text's first one, from those of its runs."""
+        if segment.isascii() and segment.isalpha():
+            return self._shared(space + segment)
+        runs = _RUNS.findall(segment)
+        if not runs or sum(map(len, runs)) != len(segment) or (space and runs[0] == "\n"):
+            return self._whole(space + segment) if space or segment else b""
+        runs[0] = space + runs[0]
+        return b"".join([self._shared(x) for x in runs])
+
+    def raws(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """raw() of every text of a column, with `end` appended. Arrow cuts the texts at spaces and finds the distinct segments
+        of the column, so that each is looked at once; what is kept from one column to the next are runs, which many segments
+        share."""
+        if self.mode != "spaced":
+            return [self.raw(t) + end for t in texts.to_pylist()]
+        out = [end] * len(texts)
+        cut = []
+        for i, text in enumerate(texts.to_pylist()):
+            if text and self._uncut(text):
+                out[i] = self._whole(text) + end
+            elif text:
+                cut.append(i)
+        if not cut:
+            return out
+        if len(self.runs) >= self.limit:
+            self.older, self.runs = self.runs, {}
+        flat, ends = self._column(texts if len(cut) == len(texts) else texts.take(pa.array(cut, pa.int64())))
+        for i, a, b in zip(cut, ends, ends[1:]):
+            out[i] = flat[a:b].tobytes() + end
+        return out
+
+    def _column(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """The ids of all texts of a column, none null or empty, and where each text begins and the last ends."""
+        at, code, names = _segments(texts)
+        first = code[at[:-1]]  # no space precedes a text's first segment: it gets a code of its own
+        inside = np.bincount(code, minlength=len(names)) > np.bincount(first, minlength=len(names))
+        code[at[:-1]] = np.arange(len(names), len(names) + len(first))
+        found = [self._joined(s, " ") if k else b"" for s, k in zip(names, inside.tolist())]
+        found += [self._joined(names[c], "") for c in first.tolist()]
+        flat = pa.array(found, pa.large_binary()).take(pa.array(code))
+        return memoryview(flat.buffers()[2]), np.frombuffer(flat.buffers()[1], dtype=np.int64)[at].tolist()
+
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.raw(text), dtype=self.dtype)
 
