@@ -29,7 +29,9 @@ MOST_IN_PATTERN = 8
 SECOND_CHOICES = 12
 ITERATIONS = 300
 ROUNDS = 6
-CACHED_SEGMENTS = 150_000  # bounds a worker's memory, not what is encoded
+CACHED_RUNS = 150_000  # bounds a worker's memory, not what is encoded
+#: Texts that are tokenised at once; a longer one is whole and alone.
+CHUNK_BYTES = 1 << 22
 LEAST_PART = 1e-3  # parts of a count below this are taken for zero
 
 CHUNKS_SCHEMA = (
@@ -197,15 +199,16 @@ class Plan:
 
 def _cut(path: str, special: bool, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, special, CACHED_SEGMENTS)
+        enc = encoder(path, special, CACHED_RUNS)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
+            docs, texts = batch.column(0), batch.column(1)
+            for lo, n in common.chunks(texts, CHUNK_BYTES):
                 rows = []
-                for doc, text in zip(batch.column(0).slice(lo, 2000).to_pylist(), batch.column(1).slice(lo, 2000).to_pylist()):
-                    ids = np.frombuffer(enc.raw(text) + end, dtype=enc.dtype).astype("<u4")
+                for doc, raw in zip(docs.slice(lo, n).to_pylist(), enc.raws(texts.slice(lo, n), end)):
+                    ids = np.frombuffer(raw, dtype=enc.dtype).astype("<u4")
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         piece = ids[at : at + capacity]
                         rows.append((doc, k, at, len(piece), zlib.crc32(piece), int(seen[len(piece)])))

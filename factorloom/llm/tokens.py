@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 _AFTER_SPACE = re.compile(r"\s ")
 #: Runs that the standard patterns keep apart whatever Unicode version they use; apostrophes are left to the library.
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)")
+_CUT, _LETTER, _DIGIT, _SIGN, _TAIL, _ODD = range(6)
+_LONGEST = 256  # longer runs are encoded wherever they occur and not kept
 
 
 @lru_cache(1)
@@ -37,6 +39,61 @@ def _segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return parts.offsets.to_numpy(), coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
 
 
+@lru_cache(1)
+def _kinds() -> tuple[bytes, bytes]:
+    """Byte to its kind in UTF-8, with letters as in _RUNS, and byte to its lower case."""
+    kind, lower = bytearray([_ODD]) * 256, bytearray(range(256))
+    for b in range(33, 127):
+        c = chr(b)
+        kind[b] = _LETTER if c.isalpha() else _DIGIT if c.isdecimal() else _ODD if c == "'" else _SIGN
+        lower[b] = ord(c.lower())
+    for b in b" \t\n\r":
+        kind[b] = _CUT
+    kind[0xC3] = _LETTER
+    kind[0x80:0xC0] = bytes([_TAIL]) * 64
+    return bytes(kind), bytes(lower)
+
+
+def _lower_runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array, list[str]]:
+    """The runs of all texts, none null, in lower case and without white space: where each text's begin (and the last's end),
+    codes, and what these stand for. A digit is a run; so is, as it stands, a stretch between white space that holds anything
+    but what _RUNS keeps apart."""
+    texts = texts.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes()
+    at = at - at[0]
+    size = len(raw)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    kind, lower = (np.frombuffer(bytearray(raw.translate(to)), dtype=np.uint8) for to in _kinds())
+    tail = np.flatnonzero(kind == _TAIL)
+    if len(tail):  # after C3 these are letters but for the signs of times and division
+        second = data[tail]
+        letter = (data[tail - 1] == 0xC3) & (second != 0x97) & (second != 0xB7)
+        kind[tail] = np.where(letter, _LETTER, _ODD)
+        lower[tail] += (32 * (letter & (second < 0x9F))).astype(np.uint8)
+    first = np.zeros(size + 1, dtype=bool)
+    first[at] = True
+    first = first[:size]
+    keep = kind != _CUT
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        edges = np.append(np.flatnonzero(first | ~keep), size)
+        of = np.unique(np.searchsorted(edges, odd, side="right"))
+        change = np.zeros(size + 1, dtype=np.int8)
+        change[edges[of - 1]] += 1
+        change[edges[of]] -= 1
+        inside = keep & (np.cumsum(change[:size], dtype=np.int8) > 0)
+        kind[inside] = _ODD
+        lower[inside] = data[inside]
+    begins = first | (kind == _DIGIT)
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins &= keep
+    lower = lower[keep]
+    ends = np.append(np.flatnonzero(begins[keep]), len(lower)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(lower)]).dictionary_encode()
+    return np.searchsorted(np.flatnonzero(begins), at), coded.indices, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 class SegmentEncoder:
     """ids(text): the token ids of a whole text as an array. With `special`, the strings of special tokens in a text become
     those tokens, as the library does by default; without, they are ordinary text. `limit` bounds each of the two
@@ -165,7 +222,9 @@ class SegmentEncoder:
     def raws(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
         """raw() of every text of a column, with `end` appended. Arrow cuts the texts at spaces and finds the distinct segments
         of the column, so that each is looked at once; what is kept from one column to the next are runs, which many segments
-        share."""
+        share. Without spaces among the ids the column is cut into runs at once."""
+        if self.mode == "dropped":
+            return self._raws_of_runs(texts, end)
         if self.mode != "spaced":
             return [self.raw(t) + end for t in texts.to_pylist()]
         out = [end] * len(texts)
@@ -195,6 +254,34 @@ class SegmentEncoder:
         flat = pa.array(found, pa.large_binary()).take(pa.array(code))
         return memoryview(flat.buffers()[2]), np.frombuffer(flat.buffers()[1], dtype=np.int64)[at].tolist()
 
+    def _stretch(self, run: str) -> bytes:
+        """Ids of a run of a "dropped" text that the young generation of runs does not hold."""
+        found = self.older.get(run)
+        if found is None:
+            found = self._model(run) if _RUNS.fullmatch(run) else self._whole(run)
+        if len(run) <= _LONGEST:
+            self.runs[run] = found
+        return found
+
+    def _raws_of_runs(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """raws() of "dropped" texts."""
+        whole = np.zeros(len(texts), dtype=bool)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).fill_null(False).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", texts).fill_null("") if whole.any() or texts.null_count else texts
+        out = [end] * len(texts)
+        if pc.any(pc.greater(pc.binary_length(plain), 0)).as_py():
+            if len(self.runs) >= self.limit:
+                self.older, self.runs = self.runs, {}
+            at, code, names = _lower_runs(plain)
+            found = [f if f is not None else self._stretch(n) for f, n in zip(map(self.runs.get, names), names)]
+            flat = pa.array(found, pa.large_binary()).take(code)
+            ids, ends = memoryview(flat.buffers()[2] or b""), np.frombuffer(flat.buffers()[1], dtype=np.int64)[at].tolist()
+            out = [ids[a:b].tobytes() + end for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._whole(texts[i].as_py()) + end
+        return out
+
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.raw(text), dtype=self.dtype)
 
