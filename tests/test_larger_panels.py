@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom import catalog  # noqa: F401, loads the queries in order
+from factorloom import catalog
 from factorloom.operators import books, risk
 from factorloom.operators import statistics as st
 
@@ -104,3 +104,19 @@ def test_a_rebalance_comes_from_cells_in_any_order():
     assert place.tolist() == pytest.approx([0, math.nan, 1], nan_ok=True) and share.tolist() == pytest.approx([0.75, math.nan, 0.75], nan_ok=True)
     assert risks.tolist() == pytest.approx([1.0, math.nan, 0.275], nan_ok=True) and adv.tolist() == [7.0, 5.0, 6.0]
     assert can_trade.tolist() == [1.0, 0.0, 0.0] and later.tolist() == pytest.approx([0.5, math.nan, math.nan], nan_ok=True)
+
+
+def test_delays_are_one_pass(spark):
+    """Before, every delay evaluated the values again."""
+    rows = [(f, datetime.date(2020, 1, d), f"n{i:02d}", float((i * 7 + d * 3) % 11), float(i)) for f in ("a", "b") for d in range(1, 6) for i in range(31)]
+    values = spark.createDataFrame(rows, "factor string, dt date, instrument string, value double, y double")
+    out = st.lag_decay(values, (0, 2))
+    assert "Union" not in plan_of(out) and {(r["factor"], r["lag"]) for r in out.collect()} == {(f, k) for f in "ab" for k in (0, 2)}
+
+
+def test_combined_scores_make_their_values_once(spark, sf, monkeypatch):
+    from factorloom.queries import crosssection as q
+
+    calls, make = [], q.values
+    monkeypatch.setattr(q, "values", lambda *a: calls.append(a) or make(*a))
+    assert catalog.QUERIES["combine"](spark, sf).count() and len(calls) == 1
