@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import risk
 from ..sources import panels
-from .base import dense, dense_sql, rounded, sql_round
+from .base import bars, dense_sql, rounded, sql_round
 
 _BASE = f"""{dense_sql('supp_week')}, bm AS (SELECT dt, avg(close) AS b FROM bars GROUP BY dt), br AS (SELECT dt, b, b / lag(b) OVER (ORDER BY dt) - 1 AS bench FROM bm),
 r AS (SELECT d.instrument, d.dt, d.pos, d.close, d.volume, d.close / lag(d.close) OVER (PARTITION BY d.instrument ORDER BY d.pos) - 1 AS ret, br.bench FROM d LEFT JOIN br ON br.dt = d.dt)"""
@@ -31,7 +31,8 @@ _STYLE = {
 
 
 def exposed(spark, sf_dir):
-    return risk.exposures(dense(spark, sf_dir, "supp_week"), panels.benchmark(panels.supp_week(spark, sf_dir)), beta=8, size=4, vol=6, slow=8, fast=4)
+    made = bars(spark, sf_dir, "supp_week")
+    return risk.exposures(panels.densify(made), panels.benchmark(made), beta=8, size=4, vol=6, slow=8, fast=4)
 
 
 @query("exposures_all", f"{_BASE} SELECT instrument, dt, {', '.join(f'{sql_round(v, 5)} AS {k}' for k, v in _STYLE.items())} FROM r")
